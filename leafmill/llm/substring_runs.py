@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,3 +160,28 @@ def dedup(df: DataFrame, n: int = 35, k: int = 8, batches: int = 2) -> DataFrame
     with Scratch(df.sparkSession) as scratch:
         cut = repeated_windows(docs, scratch, n, k, batches)
     return remove(docs, cut, n)
+
+
+def cleaned(df: DataFrame, n: int = 35, k: int = 8, batches: int = 2) -> DataFrame:
+    """Documents (doc_id, text, lang, source, n_chars) with their repeated words cut out of the text; those that lose
+    every word are dropped, those that lose none are as before."""
+    docs = documents(df, "lang", "source", "n_chars")
+    with Scratch(df.sparkSession) as scratch:
+        cut = repeated_windows(docs.select("doc_id", "text", "text_key"), scratch, n, k, batches)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for lo, hi, buf, offs in tn.chunks(b["text"], CHUNK):
+                start, end, first = tn.words(buf, offs)
+                row, at, count = sg.places(b["cut"][lo:hi])
+                gone = tn.covered(first[row] + at, first[row] + at + count + n - 1, len(start))
+                lost = tn.sums(gone, first)
+                text = _cut_text(buf, offs, start, first, gone)
+                own = b.slice(lo, hi - lo)
+                size = np.where(lost > 0, pa.compute.utf8_length(text).to_numpy(), 0)
+                changed = pa.array(lost > 0)
+                cols = {"doc_id": own["doc_id"], "text": text, "lang": own["lang"], "source": own["source"], "n_chars": pa.compute.if_else(changed, pa.array(size, pa.int64()), own["n_chars"])}
+                keep = (lost == 0) | (lost < np.diff(first))
+                yield pa.RecordBatch.from_pydict(cols).filter(pa.array(keep))
+
+    return by_document(docs, cut).select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), "cut").mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")

@@ -157,3 +157,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield batch(SCORED, {"doc_id": b["doc_id"][lo:hi], "held_out": b["held_out"][lo:hi], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def kept(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that score below the limit."""
+    sent = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(model.weights).astype(np.int32), model.weights[model.weights != 0], model.bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, values, bias = sent.value
+        own = Model(np.zeros(1 << BITS), bias)
+        own.weights[at] = values
+        for b in batches:
+            for lo, hi, buf, offs in tn.chunks(b["text"], 1 << 20):
+                yield b.slice(lo, hi - lo).filter(pa.array(own.score(buf, offs) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
