@@ -1,0 +1 @@
+"""PDF bytes: scanning, resolving, interpreting, writing. No Spark here."""
