@@ -1,0 +1 @@
+"""Column functions; all of them stay in the JVM."""

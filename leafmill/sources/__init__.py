@@ -1,0 +1 @@
+"""PDF files and images as tables."""
