@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from string import ascii_letters
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..codec.fonts import ACCENTS, NAMED, WIDTHS, standard_widths
+from ..codec.fonts import ACCENTS, NAMED, WIDTHS, glyph_text, standard_widths
 from ..options import HEADER_BYTES
 
 EDGES = r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$"
@@ -67,12 +69,10 @@ def escape_pdf(c: Column) -> Column:
 
 def glyph_to_text(c: Column) -> Column:
     """A glyph name's text: a listed name, a letter with an accent, uniXXXX, or the name itself."""
-    names = F.create_map(*[x for k, v in NAMED.items() for x in (F.lit(k), F.lit(chr(int(v, 16))))])
-    marks = F.create_map(*[x for k, v in ACCENTS.items() for x in (F.lit(k), F.lit(v))])
-    mark = F.element_at(marks, F.substr(c, F.lit(2)))
+    known = {k: chr(int(v, 16)) for k, v in NAMED.items()} | {k: glyph_text(k) for k in (a + m for a in ascii_letters for m in ACCENTS) if len(glyph_text(k)) == 1}
+    names = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.lit(v))])
     uni = F.decode(F.unhex(F.substr(c, F.lit(4), F.lit(4))), "UTF-16BE")
-    composed = F.concat(F.substr(c, F.lit(1), F.lit(1)), mark)
-    return F.when(F.length(c) == 1, c).otherwise(F.coalesce(F.element_at(names, c), F.when(c.rlike("^uni[0-9A-Fa-f]{4}$"), uni), composed, c))
+    return F.when(F.length(c) == 1, c).otherwise(F.coalesce(F.try_element_at(names, c), F.when(c.rlike("^uni[0-9A-Fa-f]{4}$"), uni), c))
 
 
 def text_width(c: Column, size: Column | float, font: str = "Helvetica", missing: float = 556.0) -> Column:

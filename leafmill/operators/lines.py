@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import span_end, top_down_lines
+from .spread import spread
 
 LINE_TOLERANCE = 1.0
 SPAN = ("x", "span_seq", "y", "end_x", "font_size", "font", "text")
@@ -31,7 +32,7 @@ def line_text(spans: Column) -> Column:
 
 def build_lines(spans: DataFrame) -> DataFrame:
     """(doc_id, page, line_no, y, text, spans): a line holds what is within a point of its highest span."""
-    page = spans.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "span_seq", "x", "y", "end_x", "font_size", "font", "text"))).alias("s"))
+    page = spread(spans, "doc_id", "page").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "span_seq", "x", "y", "end_x", "font_size", "font", "text"))).alias("s"))
     page = page.withColumn("n", top_down_lines(F.transform("s", lambda e: -e["down"]), LINE_TOLERANCE))
     flat = page.select("doc_id", "page", F.explode(F.arrays_zip("s", "n")).alias("z")).select("doc_id", "page", F.col("z.n").alias("line_no"), "z.s.*")
     lines = flat.groupBy("doc_id", "page", "line_no").agg(F.max("y").alias("y"), F.array_sort(F.collect_list(F.struct(*SPAN))).alias("spans"))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.geometry import leader_clusters, nearest, spaced, span_end
 from ..functions.text import is_all_numeric, is_header_text, trim
 from ..options import ANCHOR_CLUSTER, COLUMN_SPACING, TableOpts
+from .spread import spread
 
 PAGE = ("doc_id", "page")
 
@@ -22,7 +23,7 @@ def sheets(spans: DataFrame, y_tol: float = 2.0) -> DataFrame:
     """Pages as sheets. In content order, a span with a text joins the first row whose first span is nearer than the
     tolerance; rows go from the top down."""
     real = spans.withColumn("text", trim(F.col("text"))).where(F.col("text") != "")
-    page = real.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("span_seq", "y", "x", "end_x", "font_size", "text"))).alias("s"))
+    page = spread(real, *PAGE).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("span_seq", "y", "x", "end_x", "font_size", "text"))).alias("s"))
     page = page.withColumn("c", F.explode(F.array(leader_clusters(F.transform("s", lambda e: e["y"]), y_tol))))
     members = lambda n: F.array_sort(F.transform(F.filter(F.arrays_zip("s", F.col("c.which").alias("which")), lambda z: z["which"] == n), lambda z: F.struct(z["s"]["x"].alias("x"), z["s"]["span_seq"].alias("span_seq"), z["s"]["end_x"].alias("end_x"), z["s"]["font_size"].alias("font_size"), z["s"]["text"].alias("text"))))
     rows = F.array_sort(F.transform("c.leaders", lambda y, i: F.struct((-y).alias("down"), members(i + 1).alias("spans"))))

@@ -14,6 +14,7 @@ from ..codec import compose, draw
 from ..codec.images import Image
 from ..codec.writer import STAMP
 from ..options import MergeOptions
+from .spread import spread
 
 DOCUMENT = pa.schema([("doc_id", pa.string()), ("content", pa.binary())])
 
@@ -26,7 +27,7 @@ def create_pdf(ops: DataFrame, stamp: str = STAMP) -> DataFrame:
     """(doc_id, content) of drawing operations (doc_id, page, op_seq, op, args, text, width, height); pages are as wide
     and high as their first operation says, 612 by 792 where it does not."""
     op = F.struct("page", "op_seq", "op", "args", "text", F.coalesce("width", F.lit(612.0)).alias("width"), F.coalesce("height", F.lit(792.0)).alias("height"))
-    docs = ops.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(op)).alias("ops"))
+    docs = spread(ops.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(op)).alias("ops"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
