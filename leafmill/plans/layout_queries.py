@@ -10,7 +10,11 @@ from ..options import TableOpts
 from .layouts import CELLS_SQL, INVOICE_SQL, LINES_SQL, as_invoice, cell_texts, header_texts, invoice_texts, order_lines, paged_texts, spans_of
 
 HEADERS = TableOpts(headers=("Part", "Supplier"))
-KEY = F.col("doc_id").cast("long").alias("l_orderkey")
+
+
+def key():
+    return F.col("doc_id").cast("long").alias("l_orderkey")
+
 CELL_LIST = "[(0, 50, cast(l_partkey AS VARCHAR)), (1, 130, cast(l_suppkey AS VARCHAR)), (2, 220, printf('%.2f', l_quantity)), (3, 300, printf('%.2f', l_extendedprice)), (4, 400, l_returnflag || l_linestatus)]"
 FLAT_SQL = f"SELECT l_orderkey, n, c[1] AS k, c[2] AS x, c[3] AS t FROM (SELECT l_orderkey, n, unnest({CELL_LIST}) AS c FROM ({LINES_SQL}))".replace("c[1]", "struct_extract(c, 1)").replace("c[2]", "struct_extract(c, 2)").replace("c[3]", "struct_extract(c, 3)")
 
@@ -23,17 +27,17 @@ def group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells stand up to 1.2 points lower than the first of their row."""
     jitter = spans_of(body(spark, sf_dir)).withColumn("y", F.col("y") - (F.col("span_seq") % 10) * 0.3)
     out = rows.group_rows(jitter)
-    return out.select(KEY, "row_no", F.round("y", 2).alias("y"), "pos", "text")
+    return out.select(key(), "row_no", F.round("y", 2).alias("y"), "pos", "text")
 
 
 def cluster_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows start up to two points further right than the first."""
     jitter = spans_of(body(spark, sf_dir)).withColumn("x", F.col("x") + (F.floor(F.col("span_seq") / 10) % 3))
-    return rows.cluster_x(jitter).select(KEY, "x", "support")
+    return rows.cluster_x(jitter).select(key(), "x", "support")
 
 
 def column_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows.column_gaps(spans_of(body(spark, sf_dir))).select(KEY, "row_no", F.round("mid", 3).alias("mid"))
+    return rows.column_gaps(spans_of(body(spark, sf_dir))).select(key(), "row_no", F.round("mid", 3).alias("mid"))
 
 
 def explicit_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +51,7 @@ def wrapped_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = header_texts(pages, 700.0, (("Product", 50.0), ("Suppliers", 130.0), ("Unit", 220.0), ("Total", 300.0), ("Flags", 400.0)))
     low = header_texts(pages, 688.0, (("Code", 55.0), ("Code", 135.0), ("Count", 225.0), ("Price", 305.0))).withColumn("op_seq", F.col("op_seq") + 5)
     found = tables.find_table(spans_of(data.unionByName(top).unionByName(low)), TableOpts(headers=("Product", "Suppliers")))
-    return found.select(KEY, (F.col("row_no") + 1).cast("long").alias("n"), F.array_join(F.transform("columns", lambda c: c["name"]), "|").alias("names"), F.array_join("cells", "|").alias("cells"))
+    return found.select(key(), (F.col("row_no") + 1).cast("long").alias("n"), F.array_join(F.transform("columns", lambda c: c["name"]), "|").alias("names"), F.array_join("cells", "|").alias("cells"))
 
 
 def two_row_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +61,7 @@ def two_row_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = header_texts(pages, 700.0, (("Part No", 50.0), ("ignored here", 220.0)))
     low = header_texts(pages, 680.0, (("Supplier No", 130.0), ("Price due", 300.0))).withColumn("op_seq", F.col("op_seq") + 5)
     found = tables.find_table(spans_of(data.unionByName(top).unionByName(low)), TableOpts(headers=("part no", "SUPPLIER NO", "price")))
-    return found.select(KEY, (F.col("row_no") + 1).cast("long").alias("n"), F.array_join(F.transform("columns", lambda c: c["name"]), "|").alias("names"), F.array_join("cells", "|").alias("cells"))
+    return found.select(key(), (F.col("row_no") + 1).cast("long").alias("n"), F.array_join(F.transform("columns", lambda c: c["name"]), "|").alias("names"), F.array_join("cells", "|").alias("cells"))
 
 
 def even_cells(spark: SparkSession, sf_dir: str, width: int, gap: float, names: tuple[str, ...]) -> DataFrame:
@@ -72,7 +76,7 @@ def even_cells(spark: SparkSession, sf_dir: str, width: int, gap: float, names:
 
 
 def as_three(found: DataFrame) -> DataFrame:
-    return found.select(KEY, (F.col("row_no") + 1).cast("long").alias("n"), *[F.get("cells", F.lit(i)).alias(k) for i, k in enumerate(("part", "supplier", "price"))])
+    return found.select(key(), (F.col("row_no") + 1).cast("long").alias("n"), *[F.get("cells", F.lit(i)).alias(k) for i, k in enumerate(("part", "supplier", "price"))])
 
 
 def three_sql(width: int) -> str:
@@ -101,7 +105,7 @@ def header_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = body(spark, sf_dir)
     head = header_texts(data.select("doc_id", "page").distinct())
     found = tables.find_table(spans_of(data.withColumn("x", F.col("x") + 25).unionByName(head)), HEADERS)
-    first = found.where("row_no = 0").select(KEY, F.explode("columns").alias("c"))
+    first = found.where("row_no = 0").select(key(), F.explode("columns").alias("c"))
     return first.select("l_orderkey", F.col("c.name").alias("name"), F.col("c.x").alias("x"))
 
 
@@ -177,17 +181,17 @@ def autotune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tables.find_table(sparse(spark, sf_dir), HEADERS)
-    return tables.score(found, ["doc_id"]).select(KEY, F.round("score", 6).alias("score"))
+    return tables.score(found, ["doc_id"]).select(key(), F.round("score", 6).alias("score"))
 
 
 def cell_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tables.find_table(spans_of(invoice_texts(spark, sf_dir)), HEADERS).where("row_no = 0")
-    return found.select(KEY, tables.cell_by_name("QTY").alias("qty"), tables.cell_by_name("missing").alias("missing"), rows.column_at("price", F.col("columns")).alias("price_at"), rows.column_at("none", F.col("columns")).alias("none_at"))
+    return found.select(key(), tables.cell_by_name("QTY").alias("qty"), tables.cell_by_name("missing").alias("missing"), rows.column_at("price", F.col("columns")).alias("price_at"), rows.column_at("none", F.col("columns")).alias("none_at"))
 
 
 def long_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tables.cells(tables.find_table(spans_of(invoice_texts(spark, sf_dir)), HEADERS))
-    return found.select(KEY, (F.col("row_no") + 1).cast("long").alias("n"), F.col("col_no").cast("int").alias("k"), "text")
+    return found.select(key(), (F.col("row_no") + 1).cast("long").alias("n"), F.col("col_no").cast("int").alias("k"), "text")
 
 
 def nearest_column(spark: SparkSession, sf_dir: str) -> DataFrame:
