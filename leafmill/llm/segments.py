@@ -125,6 +125,17 @@ def judged(found: DataFrame, index: DataFrame) -> DataFrame:
     return found.join(index, "fp").withColumn("whole", alike & (F.col("segments") > 1)).drop("segments", "span_lo", "span_hi", "any_twice")
 
 
+def kinds(mixed: DataFrame) -> DataFrame:
+    """(fp, span, copies, one): the different texts under a name, how many segments have each, and one of them."""
+    order = F.struct("text_key", "start", F.coalesce("doc_id", F.lit(0)))
+    return mixed.groupBy("fp", "span").agg(F.count("*").alias("copies"), F.min_by(F.struct("doc_id", "text_key", "start", "n"), order).alias("one"))
+
+
+def copied(mixed: DataFrame, known: DataFrame) -> DataFrame:
+    """Places of the segments whose text another segment has too."""
+    return mixed.join(known.where("copies > 1").select("fp", "span"), ["fp", "span"]).select("doc_id", "text_key", "start", "n")
+
+
 def per_document(rows: DataFrame, name: str) -> DataFrame:
     """Places (start, n) gathered by document; no more than the document has units."""
     return rows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n")).alias(name))

@@ -2,7 +2,8 @@
 
 ``FingerprintIndex`` keeps the names of historical windows (see segments) as sorted immutable runs in shared storage.
 A new batch is merge-joined with the runs, becomes a run of its own, and once ``fan_out`` runs stand they are compacted
-into one. Segments that the index cannot settle are verified window by window with two independent 64-bit hashes.
+into one. Segments that the index cannot settle, one of each different text, are verified window by
+window with two independent 64-bit hashes.
 
 Defined results: null text has no words; a text of fewer than ``n`` words has no window; repeated rows repeat each
 other's windows; a null doc_id is a value like any other. Extra columns are ignored.
@@ -102,14 +103,16 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, n: int = 35, k: int = 8,
     for i in range(batches):
         index.ingest(found.where(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(batches)) == i))
     index.compact()
-    known = scratch.keep(index.lookup(found).select("doc_id", "text_key", "start", "n", "whole"), "judged")
+    known = scratch.keep(index.lookup(found).select("fp", "span", "doc_id", "text_key", "start", "n", "whole"), "judged")
     scratch.free("segments", *(name for name, _ in index.runs))
     whole = known.where("whole").select("doc_id", "text_key", "start", "n")
-    rest = sg.per_document(known.where("not whole"), "open")
+    mixed = known.where("not whole")
+    kinds = scratch.keep(sg.kinds(mixed), "kinds")
+    rest = sg.per_document(kinds.select("one.*"), "open")
     rows = scratch.keep(window_rows(docs, rest, sg.word_units, other_words, n, CHUNK), "windows")
     twice = rows.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
     seen = rows.join(twice, ["a", "b"]).select("doc_id", "text_key", "start", F.lit(1).alias("n"))
-    out = scratch.keep(sg.per_document(whole.unionByName(seen), "cut"), "cut", result=True)
+    out = scratch.keep(sg.per_document(whole.unionByName(sg.copied(mixed, kinds)).unionByName(seen), "cut"), "cut", result=True)
     scratch.free()
     return out
 

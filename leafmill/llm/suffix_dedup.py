@@ -159,10 +159,9 @@ def repeated_strings(docs: DataFrame, scratch: Scratch, n: int = 400, k: int = 6
     known = scratch.keep(sg.judged(found, sg.entries(found)), "judged")
     scratch.free("segments")
     mixed = known.where("not whole")
-    kinds = mixed.groupBy("fp", "span").agg(F.count("*").alias("copies"), F.min_by(F.struct("doc_id", "text_key", "start", "n"), F.struct("text_key", "start", F.coalesce("doc_id", F.lit(0)))).alias("one"))
-    kinds = scratch.keep(kinds, "kinds")
+    kinds = scratch.keep(sg.kinds(mixed), "kinds")
     many = kinds.groupBy("fp").agg(F.count("*").alias("texts"))
-    copied = mixed.join(kinds.where("copies > 1").select("fp", "span"), ["fp", "span"]).select("doc_id", "text_key", "start", "n")
+    copied = sg.copied(mixed, kinds)
     ones = kinds.join(many, "fp").select("fp", "texts", "one.*")
     few = span_bytes(docs, ones.where(F.col("texts") <= wide), n)
     out = known.where("whole").select("doc_id", "text_key", "start", "n").unionByName(copied).unionByName(by_suffixes(few, n))
