@@ -1 +1,146 @@
-QUERIES: dict = {}
+"""Queries that draw over pages, stamp them and merge documents."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry
+from ..operators import lines, search, sinks
+from ..options import MergeOptions
+from ..sources.pdf import extract_pages, extract_spans
+from .layouts import table
+
+
+def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pages a part: its name on the first, its brand on the second."""
+    flat = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.posexplode(F.array("p_name", "p_brand")).alias("page", "text"))
+    return flat.select("doc_id", "page", F.lit(0).alias("op_seq"), F.lit(72.0).alias("x"), F.lit(700.0).alias("y"), "text")
+
+
+def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.create_pdf(sinks.text_ops(part_texts(spark, sf_dir), "Courier", 10.0))
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(p_partkey, page, text) of the pages."""
+    return lines.page_text(lines.build_lines(extract_spans(docs))).select(F.col("doc_id").cast("long").alias("p_partkey"), "page", "text")
+
+
+def redact_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the letter o is filled on the pages: Courier 10 is six points a letter."""
+    edits = sinks.redactions(search.search(extract_spans(part_documents(spark, sf_dir)), "o"))
+    return edits.select(F.col("doc_id").cast("long").alias("p_partkey"), "page", "edit_seq", *[F.round(F.get("args", F.lit(i)), 3).alias(k) for i, k in enumerate(("x", "y", "width", "height"))])
+
+
+REGIONS_SQL = """SELECT p_partkey, page, (row_number() OVER (PARTITION BY p_partkey, page ORDER BY k) - 1)::INTEGER AS edit_seq, (72.0 + 6 * (k - 1))::DOUBLE AS x, 698.0::DOUBLE AS y, 6.0::DOUBLE AS width, 12.0::DOUBLE AS height FROM (
+SELECT p_partkey, page, t, unnest(range(1, length(t) + 1)) AS k FROM (SELECT p_partkey, 0 AS page, p_name AS t FROM part UNION ALL SELECT p_partkey, 1, p_brand FROM part)) WHERE t[k] = 'o'"""
+
+
+def redact_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redaction is a drawing: texts below can still be read."""
+    docs = part_documents(spark, sf_dir)
+    edits = sinks.redactions(search.search(extract_spans(docs), "o"))
+    return texts_of(sinks.overlay(docs, edits))
+
+
+PARTS_SQL = "SELECT p_partkey, 0 AS page, p_name AS text FROM part UNION ALL SELECT p_partkey, 1, p_brand FROM part"
+
+
+def overlay_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("edit_seq"), F.lit(72.0).alias("x"), F.lit(600.0).alias("y"), F.col("p_type").alias("text"), F.lit(0.0).alias("font_size"))
+    return texts_of(sinks.apply_edits(part_documents(spark, sf_dir), sinks.text_overlays(texts)))
+
+
+def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture on the first page of each document; texts and pages stay."""
+    docs = part_documents(spark, sf_dir)
+    places = sinks.stamp_places(extract_pages(docs), 2, 1, skip_last=1)
+    image = F.struct(F.lit(2).alias("width"), F.lit(1).alias("height"), F.unhex(F.lit("ff00000000ff")).alias("rgb"), F.unhex(F.lit("80ff")).alias("alpha"))
+    edits = sinks.image_stamps(places.withColumns({"edit_seq": F.lit(0), "rotation": F.lit(45.0), "opacity": F.lit(0.3), "image": image}))
+    return texts_of(sinks.apply_edits(docs, edits))
+
+
+def watermark_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = sinks.stamp_places(extract_pages(part_documents(spark, sf_dir)), 400, 200, 30.0, 0.85, skip_first=1)
+    return places.select(F.col("doc_id").cast("long").alias("p_partkey"), "page", *[F.round(k, 6).alias(k) for k in ("cx", "cy", "width", "height")])
+
+
+C30, S30 = math.cos(math.radians(30)), math.sin(math.radians(30))
+WATERMARK_SQL = f"SELECT p_partkey, 1 AS page, 306.0::DOUBLE AS cx, 396.0::DOUBLE AS cy, round(w, 6)::DOUBLE AS width, round(w / 2, 6)::DOUBLE AS height FROM (SELECT p_partkey, least(612 * 0.85 / ({C30} + 0.5 * {S30}), 792 * 0.85 / ({S30} + 0.5 * {C30}))::DOUBLE AS w FROM part)"
+
+
+def fit_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").withColumn("s", F.col("p_size").cast("double"))
+    size = geometry.fit_rotated(F.lit(100.0), F.col("s") * 10, F.lit(595.0), F.lit(842.0), F.col("s") * 7, F.lit(0.85))
+    return part.select("p_partkey", F.round(size["width"], 5).alias("width"), F.round(size["height"], 5).alias("height"))
+
+
+FIT_SQL = "SELECT p_partkey, round(w, 5)::DOUBLE AS width, round(w * a, 5)::DOUBLE AS height FROM (SELECT *, least(595 * 0.85 / (c + a * s), 842 * 0.85 / (s + a * c)) AS w FROM (SELECT p_partkey, p_size / 10.0::DOUBLE AS a, abs(cos(radians(p_size * 7))) AS c, abs(sin(radians(p_size * 7))) AS s FROM part))"
+
+
+def rotate_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlay matrices, and that they undo the turn of the page."""
+    part = table(spark, sf_dir, "part")
+    x = (F.col("p_partkey") % 3 * 25).cast("double")
+    box = F.array(x, F.lit(30.0), x + 595, F.lit(872.0))
+    m = geometry.overlay_matrix((F.col("p_partkey") % 4 * 90).cast("int"), box)
+    both = geometry.multiply(m, geometry.overlay_matrix(F.lit(0), box))
+    return part.select("p_partkey", F.array_join(F.transform(m, lambda v: F.format_string("%.1f", v)), " ").alias("cm"), F.round(F.get(both, F.lit(4)), 3).alias("e"))
+
+
+ROTATE_SQL = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '1.0 0.0 0.0 1.0 0.0 0.0' WHEN 1 THEN printf('0.0 1.0 -1.0 0.0 %.1f %.1f', 595.0 + x + 30, 30.0 - x) WHEN 2 THEN printf('-1.0 0.0 0.0 -1.0 %.1f %.1f', 595.0 + 2 * x, 842.0 + 60) ELSE printf('0.0 -1.0 1.0 0.0 %.1f %.1f', x - 30.0, 842.0 + x + 30) END AS cm,
+CASE p_partkey % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 625.0 + x WHEN 2 THEN 595.0 + 2 * x ELSE x - 30.0 END::DOUBLE AS e FROM (SELECT p_partkey, (p_partkey % 3 * 25)::DOUBLE AS x FROM part)"""
+
+
+def selections(docs: DataFrame, *pages: list[int] | None) -> DataFrame:
+    """Each document merged with itself, once for each choice of pages."""
+    chosen = F.array(*[F.struct(F.lit(i).alias("src_no"), (F.array(*map(F.lit, p)) if p is not None else F.lit(None).cast("array<int>")).alias("pages")) for i, p in enumerate(pages)])
+    return docs.select(F.col("doc_id").alias("merge_id"), "doc_id", F.explode(chosen).alias("s")).select("merge_id", "doc_id", "s.src_no", "s.pages")
+
+
+def merge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last page, both pages, and the first page twice."""
+    docs = part_documents(spark, sf_dir)
+    merged = sinks.merge_documents(docs, selections(docs, [-1], None, [0, 0]))
+    return texts_of(merged.select(F.col("merge_id").alias("doc_id"), F.col("data").alias("content")))
+
+
+MERGED_SQL = "SELECT p_partkey, i::INTEGER AS page, t AS text FROM (SELECT p_partkey, unnest(range(0, 5)) AS i, unnest([p_brand, p_name, p_brand, p_name, p_name]) AS t FROM part)"
+
+
+def merge_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten copies against limits: too much as it is, enough once streams are shared, and never enough for a byte."""
+    docs = part_documents(spark, sf_dir)
+    ten = selections(docs, *[None] * 10)
+    out = None
+    for policy, size in (("fail", 0), ("fail", 6000), ("shrink", 6000), ("fail", 1), ("truncate", 1), ("shrink", 1)):
+        one = sinks.merge_documents(docs, ten, MergeOptions(size, policy)).select(F.col("merge_id").cast("long").alias("p_partkey"), F.lit(policy).alias("policy"), F.col("max_size").alias("max_size"), "oversize", "total_pages")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+LIMITS_SQL = "SELECT p_partkey, policy, max_size::BIGINT AS max_size, over AS oversize, 20 AS total_pages FROM part, (VALUES ('fail', 0, false), ('fail', 6000, true), ('shrink', 6000, false), ('fail', 1, true), ('truncate', 1, true), ('shrink', 1, true)) AS p(policy, max_size, over)"
+
+
+def merge_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page that is not there is an error of its own merge."""
+    docs = part_documents(spark, sf_dir)
+    merged = sinks.merge_documents(docs, selections(docs, [0], [7]))
+    return merged.select(F.col("merge_id").cast("long").alias("p_partkey"), F.col("data").isNull().alias("none"), F.col("error").contains("out of range").alias("named"))
+
+
+QUERIES = {
+    "redact_regions": (redact_regions, REGIONS_SQL),
+    "redact_apply": (redact_apply, PARTS_SQL),
+    "overlay_text_roundtrip": (overlay_text, "SELECT p_partkey, 0 AS page, p_name AS text FROM part UNION ALL SELECT p_partkey, 1, p_brand || chr(10) || p_type FROM part"),
+    "watermark_pages": (stamped, PARTS_SQL),
+    "watermark_geometry": (watermark_geometry, WATERMARK_SQL),
+    "fit_rotated": (fit_rotated, FIT_SQL),
+    "rotate_overlay": (rotate_overlay, ROTATE_SQL),
+    "merge_page_selection": (merge_pages, MERGED_SQL),
+    "merge_size_policies": (merge_limits, LIMITS_SQL),
+    "merge_out_of_range": (merge_errors, "SELECT p_partkey, true AS none, true AS named FROM part"),
+}

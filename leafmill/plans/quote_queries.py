@@ -1 +1,101 @@
-QUERIES: dict = {}
+"""Quotations drawn from customers and their orders, and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import quotes, sinks
+from ..operators.lines import build_lines
+from ..sources.pdf import extract_spans
+from .layouts import LINES_SQL, order_lines, table
+
+HEAD = (("Quantity", 50.0), ("Product Code", 120.0), ("Suppliers", 220.0), ("Product Description", 320.0), ("Unit Price", 480.0))
+PER_PAGE = 8
+
+
+def _texts(rows: DataFrame, seq: int, **columns) -> DataFrame:
+    return rows.select("doc_id", F.coalesce(columns.get("page", F.lit(0)), F.lit(0)).cast("int").alias("page"), (columns["n"] * 100 + seq).cast("int").alias("op_seq"), F.lit(columns["x"]).cast("double").alias("x"), columns["y"].cast("double").alias("y"), columns["text"].alias("text"))
+
+
+def quotation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order a quotation: labels on the first page; a table whose second header word is wrapped; a category before
+    every third line; a code that goes on below its line; eight lines a page, headers on each; a footer."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey")
+    orders = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("doc_id", F.col("o_orderkey").cast("string"))
+    zero = F.lit(0)
+    top = [
+        _texts(orders, 1, n=zero, x=50, y=F.lit(780), text=F.concat(F.lit("Company: "), F.col("c_name"), F.lit(" Estimator: A "), F.col("c_mktsegment"))),
+        _texts(orders, 2, n=zero, x=50, y=F.lit(765), text=F.concat(F.lit("Quote Name: Order "), F.col("doc_id"))),
+        _texts(orders, 3, n=zero, x=50, y=F.lit(750), text=F.lit("Quotation Ref:")),
+        _texts(orders, 4, n=zero, x=50, y=F.lit(735), text=F.concat(F.lit("REF-"), F.col("doc_id"))),
+        _texts(orders, 5, n=zero, x=50, y=F.lit(720), text=F.concat(F.lit("Quote Expiry: Quote is valid until "), F.date_format("o_orderdate", "dd/MM/yyyy"))),
+    ]
+    lines = order_lines(spark, sf_dir).withColumn("doc_id", F.col("l_orderkey").cast("string"))
+    page, row = F.floor((F.col("n") - 1) / PER_PAGE), (F.col("n") - 1) % PER_PAGE
+    y = 640 - 60 * row
+    cells = {"50": F.col("l_quantity").cast("int").cast("string"), "120": F.concat(F.lit("P-"), F.col("l_partkey").cast("string")), "220": F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("-")), "320": F.concat(F.lit("item "), F.col("l_returnflag")), "480": F.format_string("%.2f", "l_extendedprice")}
+    body = [_texts(lines, 10 + i, n=F.col("n"), page=page, x=int(x), y=y, text=t) for i, (x, t) in enumerate(cells.items())]
+    body.append(_texts(lines, 20, n=F.col("n"), page=page, x=220, y=y - 20, text=F.concat(F.lit("X"), F.col("l_linestatus"))))
+    body.append(_texts(lines.where("n % 3 = 1"), 5, n=F.col("n"), page=page, x=320, y=y + 20, text=F.concat(F.lit("CATEGORY "), F.col("l_linestatus"), F.lit(" "), F.col("n").cast("string"))))
+    heads = lines.select("doc_id", page.alias("p")).distinct()
+    head = [_texts(heads, i, n=zero, page=F.col("p"), x=x, y=F.lit(690), text=F.lit(t)) for i, (t, x) in enumerate(HEAD)]
+    head.append(_texts(heads, 6, n=zero, page=F.col("p"), x=222.0, y=F.lit(678), text=F.lit("Code")))
+    head = [t.withColumn("op_seq", F.col("op_seq") + 50) for t in head]
+    last = lines.groupBy("doc_id").agg(F.max(page).alias("p"))
+    foot = [_texts(last, 90, n=F.lit(99), page=F.col("p"), x=50, y=F.lit(60), text=F.lit("Total: see above")), _texts(last, 91, n=F.lit(99), page=F.col("p"), x=120, y=F.lit(40), text=F.lit("P-after the footer"))]
+    out = top[0]
+    for t in [*top[1:], *body, *head, *foot]:
+        out = out.unionByName(t)
+    return out
+
+
+def quotation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_spans(sinks.create_pdf(sinks.text_ops(quotation_texts(spark, sf_dir))))
+
+
+def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.header_fields(build_lines(quotation_spans(spark, sf_dir)))
+    return found.select(F.col("doc_id").cast("long").alias("o_orderkey"), *quotes.FIELDS)
+
+
+FIELDS_SQL = """SELECT o_orderkey, c_name AS company, 'Order ' || o_orderkey AS quote_name, 'REF-' || o_orderkey AS quotation_ref, '' AS issue_date, strftime(o_orderdate, '%d/%m/%Y') AS quote_expiry, 'A ' || c_mktsegment AS estimator, '' AS contact_name
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)"""
+
+
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.line_items(quotation_spans(spark, sf_dir))
+    return found.select(F.col("doc_id").cast("long").alias("l_orderkey"), "item_no", "quantity", "product_code", "supplier_code", "description", F.try_element_at("prices", F.lit("Unit Price")).alias("unit_price"))
+
+
+ITEMS_SQL = f"SELECT l_orderkey, (n - 1)::BIGINT AS item_no, cast(l_quantity AS INTEGER)::VARCHAR AS quantity, 'P-' || l_partkey AS product_code, 'S' || l_suppkey || '-X' || l_linestatus AS supplier_code, 'item ' || l_returnflag AS description, printf('%.2f', l_extendedprice) AS unit_price FROM ({LINES_SQL})"
+
+
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.line_items(quotation_spans(spark, sf_dir))
+    return found.select(F.col("doc_id").cast("long").alias("l_orderkey"), "item_no", "category")
+
+
+CATEGORY_SQL = f"SELECT l_orderkey, (n - 1)::BIGINT AS item_no, last_value(CASE WHEN n % 3 = 1 THEN 'CATEGORY ' || l_linestatus || ' ' || n END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY n) AS category FROM ({LINES_SQL})"
+
+
+def supplier_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.supplier_codes(quotes.line_items(quotation_spans(spark, sf_dir)))
+    return found.select(F.col("doc_id").cast("long").alias("l_orderkey"), F.col("code_no").cast("long").alias("code_no"), "code")
+
+
+CODES_SQL = f"SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY first) - 1 AS code_no, code FROM (SELECT l_orderkey, 'S' || l_suppkey || '-X' || l_linestatus AS code, min(n) AS first FROM ({LINES_SQL}) GROUP BY ALL)"
+
+
+def whole_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.extract_quotes(quotation_spans(spark, sf_dir))
+    return found.select(F.col("doc_id").cast("long").alias("l_orderkey"), F.array_join("headers", "|").alias("headers"), F.size("line_items").cast("long").alias("n_items"))
+
+
+QUERIES = {
+    "quote_header_fields": (header_fields, FIELDS_SQL),
+    "quote_line_items": (line_items, ITEMS_SQL),
+    "quote_category_fill": (categories, CATEGORY_SQL),
+    "quote_supplier_codes": (supplier_codes, CODES_SQL),
+    "quotes": (whole_quotes, "SELECT l_orderkey, 'Quantity|Product Code|Suppliers Code|Product Description|Unit Price' AS headers, count(*) AS n_items FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey"),
+}
