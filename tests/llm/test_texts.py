@@ -1,0 +1,259 @@
+"""Operators that work text by text, against brute force or the library they follow."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from leafmill.llm import bpe, langid, media_columns, packing, quality_lines, secret_scan, textnum, toxicity, webp
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [None, "", " ", "\n\n", "a\n a\na", "x " * 60, "a b c a b c", "é# |b\r\nq\vz\n", "y" * 5000, "日本語 текст\U0001f600", "a b", "one two three " * 40]
+
+
+def rows(df):
+    return sorted([tuple(r) for r in df.collect()], key=str)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Odd texts, repeated rows, a null doc_id, null columns, and extra columns with names used inside."""
+    data = [(i, t, "en", "host", None, "x") for i, t in enumerate(ODD)] + [(3, "a\n a\na", None, None, 1, None), (None, "tail text here", "de", "host", 2, "")]
+    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, cut string")
+
+
+def base(text):
+    w = WORD.findall(text or "")
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    c = Counter(zip(w, w[1:], w[2:]))
+    rep = np.zeros(len(w), bool)
+    for i in range(len(w) - 2):
+        if c[tuple(w[i : i + 3])] > 1:
+            rep[i : i + 3] = True
+    n = int(rep.sum())
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, n, len(w) < 50 or 100 * n > 50 * len(w)
+
+
+def test_line_frequency_base(docs):
+    got = quality_lines.line_frequency(docs)
+    assert got.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    want = sorted([(r["doc_id"], *base(r["text"])) for r in docs.collect()], key=str)
+    assert sorted([tuple(r)[:7] for r in got.collect()], key=str) == want
+
+
+def test_frequent_lines_are_removed_by_host(spark):
+    def own(i):  # digits are all alike in a normalised line
+        rng = random.Random(i)
+        return " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(8)) for _ in range(60))
+
+    data = [(i, "Cookie Notice 12\n" + own(i), "a") for i in range(10)] + [(100 + i, own(0) + "\nfoot", "a") for i in range(5)] + [(200, "cookie   notice 99\n" + own(200), "b")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality_lines.line_frequency(df, max_docs=4, max_share=0.0).collect()}
+    assert got[3]["n_removed_words"] == 3 and got[3]["kept"]
+    assert not got[102]["kept"] and not got[0]["kept"]  # their own lines are frequent: depleted
+    assert got[200]["n_removed_words"] == 0 and got[200]["kept"]
+
+
+def test_line_frequency_of_nothing(spark):
+    assert quality_lines.line_frequency(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def picture(seed, shape):
+    rng = np.random.default_rng(seed)
+    return (np.kron(rng.integers(0, 256, (*shape, 4)), np.ones((3, 4, 1))) + rng.integers(0, 2, (shape[0] * 3, shape[1] * 4, 4))).astype(np.uint8)
+
+
+@pytest.mark.parametrize("predictor", [None, *range(14)])
+@pytest.mark.parametrize("more", [{}, {"colour": 0x1F8E05}, {"subtract": True}, {"cache_bits": 4}, {"copies": False, "cache_bits": 2, "colour": 0xFE02F0}])
+def test_webp_transforms(predictor, more):
+    for image in (picture(1, (4, 3)), picture(2, (1, 1))[:1, :1], picture(3, (1, 4))[:1]):
+        assert (webp.decode(webp.encode(image, predictor=predictor, **more)) == image).all()
+
+
+@pytest.mark.parametrize("colours", [1, 2, 4, 5, 16, 17, 200])
+def test_webp_palettes(colours):
+    rng = np.random.default_rng(colours)
+    image = rng.integers(0, 256, (colours, 4)).astype(np.uint8)[rng.integers(0, colours, (11, 19))]
+    assert (webp.decode(webp.encode(image, palette=True, cache_bits=3)) == image).all()
+
+
+def test_webp_damage():
+    good = webp.encode(picture(1, (2, 2)))
+    for bad in (b"", good[:30], b"RIFF" + good[4:20]):
+        with pytest.raises((ValueError, IndexError)):
+            webp.decode(bad)
+
+
+def test_media(docs):
+    for r in media_columns.store(docs, media=True).collect():
+        texts = {t or "" for t in ODD} | {"tail text here"}
+        n = r["n_bytes"]
+        text = next(t for t in texts if len(t.encode()) == n and hashlib.sha256(t.encode().ljust(max(64, -(-n // 64) * 64), b"\0")).hexdigest() == r["payload_sha256"])
+        payload = text.encode().ljust(max(64, -(-n // 64) * 64), b"\0")
+        assert r["payload_bytes"] == len(payload) and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"] and len(r["media"]) == r["media_bytes"]
+        images = [webp.decode(f) for f in media_columns.split(r["media"])]
+        assert b"".join(a[..., 0].tobytes() for a in images) == payload and all((a[..., :3] == a[..., :1]).all() for a in images)
+
+
+def test_pixels(spark):
+    image = picture(4, (2, 2))
+    df = spark.createDataFrame([(1, bytearray(webp.encode(image))), (2, bytearray(b"nothing")), (3, None)], "id int, data binary")
+    got = {r["id"]: r for r in media_columns.pixels(df, "data").collect()}
+    assert bytes(got[1]["images"][0]["rgba"]) == image.tobytes() and got[2]["images"] is None and got[2]["error"] and got[3]["images"] is None
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def base_secrets(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 32]
+    return sorted(found)
+
+
+def test_secrets(spark):
+    plain = "the quick brown fox reads get_user_name_from_session handlers " * 5
+    texts = [*ODD, plain, "token=token = abcdefghijk é password: 'xyz12345é AKIAAKIA AKIA1234567890ABCD", '😀 secret="aaaaaaaaa" ' + "ab01" * 10 + " ghp_9xKq2LmZ7vRt8WbY3nJd5cFh ", "PASSWORD = short", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzz and 4785380592391139"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secret_scan.secrets(df).collect()}
+    for i, t in enumerate(texts):
+        want = base_secrets(t or "")
+        joined = ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in want)
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[1] == k for x in want) for k in range(3)]
+        assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(joined.split(",")) - {""} <= set(got[i]["spans"].split(","))
+    n = len(texts)
+    assert got[n - 1]["spans"] == "markov:0:32" and got[n - 3]["n_markov"] == 1 and got[len(ODD)]["n_markov"] == 0
+
+
+def test_redaction_keeps_clean_texts(spark):
+    df = spark.createDataFrame([(1, "é password=abcdefgh1 end"), (2, "clean text"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(df, secret_scan.fitted(df)).collect()}
+    assert got == {1: "é [SECRET] end", 2: "clean text", 3: None}
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_vocabulary())
+
+
+def odd_texts(n=400):
+    rng = random.Random(5)
+    any_char = lambda: chr(rng.choice([rng.randrange(32, 127), rng.randrange(0, 0x3000), rng.randrange(0x10000, 0x1FFFF)]))
+    out = ["".join(any_char() for _ in range(rng.randrange(1, 50))) for _ in range(n)] + ["".join(rng.choice("ab \n'stlrev.1") for _ in range(50)) for _ in range(n)]
+    return [t or "" for t in ODD] + out + ["x<|endoftext|>y<|endoftext|>", "<|endoftext|>", "\x1c\x1d\x85\xa0 a  b​", "I'll don't 's", "'", " "]
+
+
+@pytest.mark.parametrize("by_index", [True, False])
+def test_bpe_follows_the_library(by_index):
+    texts, lib = odd_texts(), library()
+    vocab = bpe.vocabulary(bpe.default_vocabulary())
+    ids, at = vocab.encode(*textnum.view(pa.array(texts)), by_index)
+    for i, e in enumerate(lib.encode_batch(texts, add_special_tokens=False)):
+        own = ids[at[i] : at[i + 1]]
+        assert own.tolist() == e.ids
+        assert vocab.decode(own).decode() == lib.decode(e.ids, skip_special_tokens=False)
+
+
+def test_bpe_query(docs):
+    lib = library()
+    want = []
+    for r in docs.collect():
+        ids = lib.encode(r["text"] or "", add_special_tokens=False).ids
+        want.append((r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()))
+    assert rows(bpe.encode_decode(docs)) == sorted(want, key=str)
+
+
+def test_packing(spark):
+    lib, rng = library(), random.Random(2)
+    texts = [None, "", *(" ".join(rng.choice(["alpha", "beta", "gamma", "delta's"]) for _ in range(rng.choice([3, 50, 700, 5000]))) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pack(df).collect()
+    pieces, places = {}, {}
+    for r in got:
+        pieces.setdefault(r["doc_id"], []).append(r)
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for i, t in enumerate(texts):
+        ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for own in places.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    total = sum(r["length"] for r in got)
+    assert len(places) <= total // 2048 + 5
+
+
+def test_tightest_window():
+    w, rng = packing.Windows(64), random.Random(3)
+    free = {}
+    for n in sorted((rng.randrange(1, 65) for _ in range(500)), reverse=True):
+        best = min((c for c in free.values() if c >= n), default=None)
+        window, offset = w.place(n)
+        assert (64 - offset) == (best if best is not None else 64)
+        free[window] = 64 - offset - n
+
+
+def labelled(spark):
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    bad = ["nastyword", "vileterm", "grimphrase"]
+    data = []
+    for i in range(900):
+        w = [rng.choice(plain) for _ in range(60)]
+        toxic = i % 7 == 0
+        if toxic:
+            for k in rng.sample(range(60), 3):
+                w[k] = rng.choice(bad)
+        data.append((i, " ".join(w), int(toxic)))
+    return spark.createDataFrame(data, "doc_id long, text string, toxic int")
+
+
+def test_toxicity_held_out(spark):
+    df = labelled(spark)
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic").where("doc_id % 2 = 0 or toxic = 1"))
+    got = toxicity.score(df, model).join(df.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    assert len(got) > 100 and sum((r["score"] >= 0.5) == r["toxic"] for r in got) / len(got) > 0.97
+    assert all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+
+
+def test_toxicity_odd_input(spark, docs):
+    none = spark.createDataFrame([(1, None), (2, 0)], "doc_id long, toxic int")
+    scored = toxicity.score(docs, toxicity.train(docs, none)).collect()
+    assert len(scored) == docs.count() and all(r["predicted"] == 0 for r in scored)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert toxicity.score(empty, toxicity.train(empty, none)).count() == 0
+
+
+def test_language(spark, docs):
+    rng = random.Random(6)
+    parts = {"xx": ["ab", "ac", "ad"], "yy": ["né", "zo", "xu"], "zz": ["жа", "ли", "то"]}
+    data = [(i, " ".join("".join(rng.choice(parts[k]) for _ in range(3)) for _ in range(20)), k) for i, k in enumerate(["xx", "yy", "zz"] * 60)]
+    df = spark.createDataFrame([*data, (999, None, "xx"), (1000, "123 !", "yy"), (1001, "ab", None)], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model[0] == ["xx", "yy", "zz"]
+    got = {r["doc_id"]: r for r in langid.predict(df, model).collect()}
+    assert all(got[i]["lang_pred"] == k for i, _, k in data) and got[999]["lang_pred"] == got[1000]["lang_pred"] == "und"
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    assert langid.predict(docs, model).count() == docs.count()
+    nothing = langid.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert {r["lang_pred"] for r in langid.predict(df, nothing).collect()} == {"und"}
