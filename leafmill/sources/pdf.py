@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from glob import glob
+from os.path import isfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -131,11 +133,7 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        spark = SparkSession.getActiveSession()
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.options["path"])
-        found = path.getFileSystem(conf).globStatus(path) or []
-        return [_File(s.getPath().toUri().getPath()) for s in found]
+        return [_File(p) for p in sorted(glob(self.options["path"].removeprefix("file://"))) if isfile(p)]
 
     def read(self, partition: _File):
         with open(partition.path, "rb") as f:

@@ -1,0 +1 @@
+"""PDF files as a stream."""
