@@ -1,8 +1,9 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Characters are lower-cased letters, anything else is a gap; runs of one to three characters are hashed into
-``2 ** BITS`` buckets. Counts come from a sample of at most ``per_language`` training rows of each language, those of
-the least hashes. The matrix of log-probabilities is broadcast: languages times ``2 ** BITS`` numbers.
+``2 ** BITS`` buckets. Counts come from a sample of at most ``per_language`` training rows of each of the
+``max_languages`` commonest languages, those of the least hashes. The matrix of
+log-probabilities is broadcast: at most ``max_languages`` times ``2 ** BITS`` numbers.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned; rows with
 a null lang teach nothing; ties go to the first language by name; repeated rows are predicted alike.
@@ -68,10 +69,12 @@ def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], np.ndarr
     return out, at, letters
 
 
-def train(docs: DataFrame, per_language: int = 800) -> tuple[list[str], np.ndarray]:
-    """Languages by name, and for each the log-probability of every bucket; from rows that are not held out."""
+def train(docs: DataFrame, per_language: int = 800, max_languages: int = 200) -> tuple[list[str], np.ndarray]:
+    """The commonest languages by name, and for each the log-probability of every bucket; from rows not held out."""
     spark = docs.sparkSession
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out(parts=3, part=1))
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
+    known = known.join(F.broadcast(common), "lang", "left_semi")
     first = known.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("nth") <= per_language)
     ids = spark.createDataFrame([tuple(r) for r in first.select("doc_id", "lang").collect()], "id long, own string")
     # bounded: per_language rows of each language
