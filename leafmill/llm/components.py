@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +22,13 @@ def stars(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where("u != v").distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 50) -> DataFrame:
-    """(node, component) of all nodes with an edge; the component is the least node. edges: u, v long, u != v."""
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, component) of all nodes with an edge; the component is the least node. edges: u, v long, u != v. Rounds go
+    on until none changes an edge; there are about as many as the logarithm of the longest path, squared at most."""
     now = scratch.keep(edges.select("u", "v").distinct(), f"{name}0")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(now)
-    for i in range(1, rounds + 1):
+    for i in count(1):
         now = scratch.keep(stars(stars(now, True), False), f"{name}{i}")
         scratch.free(f"{name}{i - 1}")
         after = mark(now)
