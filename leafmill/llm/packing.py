@@ -23,6 +23,7 @@ from . import bpe
 from . import textnum as tn
 from .common import batch
 
+CHUNK = 6 << 20  # bytes of text encoded at once; bounds a worker's memory
 PIECES = pa.schema([(x, pa.int64()) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 PIECES_SQL = ", ".join(f"{f.name} long" for f in PIECES)
 PLACED = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -81,7 +82,7 @@ def cut(df: DataFrame, size: int, end_id: int, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = bpe.vocabulary(path)
-        for part in bpe.gathered(batches):
+        for part in bpe.gathered(batches, CHUNK):
             ids, at = vocab.encode(*tn.view(part["text"]), by_index=False)
             docs = part["doc_id"].to_pylist()
             rows: list[tuple] = []
