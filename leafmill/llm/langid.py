@@ -2,8 +2,8 @@
 
 Characters are lower-cased letters, anything else is a gap; runs of one to three characters are hashed into
 ``2 ** BITS`` buckets. Counts come from a sample of at most ``per_language`` training rows of each of the
-``max_languages`` commonest languages, those of the least hashes. The matrix of
-log-probabilities is broadcast: at most ``max_languages`` times ``2 ** BITS`` numbers.
+``max_languages`` commonest languages, those of the least hashes; where a language's doc_ids repeat more than twice on
+average the sample is smaller. The matrix of log-probabilities is broadcast: at most ``max_languages`` times ``2 ** BITS`` numbers.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned; rows with
 a null lang teach nothing; ties go to the first language by name; repeated rows are predicted alike.
@@ -73,9 +73,12 @@ def train(docs: DataFrame, per_language: int = 800, max_languages: int = 200) ->
     """The commonest languages by name, and for each the log-probability of every bucket; from rows not held out."""
     spark = docs.sparkSession
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out(parts=3, part=1))
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
-    known = known.join(F.broadcast(common), "lang", "left_semi")
-    first = known.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("nth") <= per_language)
+    least = F.xxhash64("doc_id")
+    common = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(least).alias("first")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    # the share of hashes that holds about twice the sample, so that no task sorts a whole language
+    near = (least / 2.0**64 + 0.5 <= 2 * per_language / F.col("n")) | (least == F.col("first"))
+    known = known.join(F.broadcast(common), "lang").where(near).select("doc_id", "lang").distinct()
+    first = known.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(least, "doc_id"))).where(F.col("nth") <= per_language)
     ids = spark.createDataFrame([tuple(r) for r in first.select("doc_id", "lang").collect()], "id long, own string")
     # bounded: per_language rows of each language
     found = docs.join(F.broadcast(ids), (docs["doc_id"] == ids["id"]) & (docs["lang"] == ids["own"]))
