@@ -257,3 +257,12 @@ def test_language(spark, docs):
     assert langid.predict(docs, model).count() == docs.count()
     nothing = langid.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert {r["lang_pred"] for r in langid.predict(df, nothing).collect()} == {"und"}
+
+
+def test_language_sample_of_a_common_language(spark):
+    data = [(i, "abab acac", "xx") for i in range(3000)] + [(i % 7 + 5000, "zozo néné", "yy") for i in range(2000)] + [(6002, "жили", "zz")] * 40
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    langs, logs = langid.train(df, per_language=50)
+    assert langs == ["xx", "yy", "zz"] and logs.shape == (len(langs), 1 << langid.BITS)
+    got = langid.predict(df, (langs, logs)).groupBy("lang_pred").count().collect()
+    assert {r["lang_pred"]: r["count"] for r in got} == {"xx": 3000, "yy": 2000, "zz": 40}
