@@ -7,8 +7,8 @@ strings made by a rule and values that the base rules find, against identifiers
 bounded sample of ``max_docs`` documents, those of the least hashes. A model is a table of 67 x 67 numbers.
 
 Positions come from splitting the text at the matches: the pieces and the matches between them add up to offsets in
-code points.  Defined results: null text is empty, with no spans; repeated rows give equal rows; a run that overlaps a
-base span is not reported again. Extra columns are ignored.
+code points.  Defined results: null text is empty, with no spans; repeated rows give equal rows; of a run that overlaps
+base spans, each remaining part of 16 characters or more is scored by itself. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
+LEAST = 16
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 PARTS = "get set user name file path list item value index count size data time start stop open close read write create update delete find load save parse format render merge table column page text line span font image stream buffer cache config option error result request response server client session handler manager factory service event queue task worker thread state node tree graph key map array string number".split()
@@ -92,13 +93,22 @@ def ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(F.split(value, ""), start, step, lambda acc: acc["sum"] / F.greatest(F.lit(1), F.char_length(value) - 1))
 
 
+def rest(run: Column, base: Column) -> Column:
+    """The parts of ``LEAST`` characters or more of a run that no base span covers; the base spans are sorted."""
+    part = lambda start, end: F.when(end - start >= LEAST, F.array(F.struct(start.alias("start"), run["kind"].alias("kind"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    near = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    start = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out"))
+    return F.aggregate(near, start, step, lambda acc: F.concat(acc["out"], part(acc["at"], run["end"])))
+
+
 def scan(df: DataFrame, model: list[float], margin: float = 0.4) -> DataFrame:
     """The input's columns and ``found``: array of (start, kind, end), sorted; kind counts in KINDS."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(matched(text, ASSIGN, 0, "value"), matched(text, ACCESS, 1), matched(text, HEX, 2)))
     runs = matched(text, RUN, 3)
     out = df.withColumn("_base", base).withColumn("_runs", runs)
-    free = F.filter("_runs", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    free = F.flatten(F.transform("_runs", lambda r: rest(r, F.col("_base"))))
     cut = lambda r: F.substr(text, r["start"] + 1, r["end"] - r["start"])
     free = F.filter(free, lambda r: cut(r).rlike("[A-Za-z]"))
     random = F.filter(free, lambda r: ratio(cut(r), model) > margin)
