@@ -2,7 +2,8 @@
 
 Base rules find assignments, access keys and hex strings. Other long runs of key characters are scored by two
 first-order Markov models over characters, one of random strings and one of ordinary identifiers; a run with a letter in it is a
-secret where the log-likelihood ratio exceeds ``margin`` a transition. The models are trained from labelled samples: random
+secret where the log-likelihood ratio exceeds ``margin`` a transition; where the whole run's does not, its stretches that do
+are. The models are trained from labelled samples: random
 strings made by a rule and values that the base rules find, against identifiers made by a rule and plain words, from a
 bounded sample of ``max_docs`` documents, those of the least hashes. A model is a table of 67 x 67 numbers.
 
@@ -23,9 +24,10 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
-LEAST = 16
+LEAST = 16  # characters of a run, of what is left of it, and of a window
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+SEPARATOR = 62  # the last five characters of ALPHABET are separators
 PARTS = "get set user name file path list item value index count size data time start stop open close read write create update delete find load save parse format render merge table column page text line span font image stream buffer cache config option error result request response server client session handler manager factory service event queue task worker thread state node tree graph key map array string number".split()
 
 
@@ -93,6 +95,74 @@ def ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(F.split(value, ""), start, step, lambda acc: acc["sum"] / F.greatest(F.lit(1), F.char_length(value) - 1))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def stretches(value: Column, model: list[float], margin: float) -> Column:
+    """Sorted array of (a, b), the stretches of a run that score over the margin though the whole run may not.
+
+    Every window of ``LEAST`` characters with a letter and a mean over the margin counts, where transitions from or to a
+    separator never add; overlapping windows are one stretch. Its ends are trimmed to where the first and last window
+    score best, then widened to the separators around them; if fewer than ``LEAST`` characters are left, it stays as it was.
+    """
+    table = F.split(F.lit(",".join(f"{x:.4f}" for x in model)), ",").cast("array<double>")
+    n, k = len(ALPHABET), LEAST - 1
+    pairs = "array<struct<a:int,b:int>>"
+    one = lambda a, b: F.array(F.struct(a.alias("a"), b.alias("b")))
+
+    def gains(codes: Column) -> Column:
+        def own(c: Column, i: Column) -> Column:
+            before = F.get(codes, i - 1)
+            gain = F.get(table, (before - 1) * n + c - 1)
+            return F.when(i > 0, F.when(F.greatest(before, c) > SEPARATOR, F.least(gain, F.lit(0.0))).otherwise(gain) - margin).otherwise(0.0)
+
+        return F.transform(codes, own)
+
+    def found(codes: Column, gain: Column) -> Column:
+        start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("letter"), F.lit(0.0).alias("sum"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.array().cast(pairs).alias("out"))
+
+        def step(acc: Column, c: Column) -> Column:
+            i = acc["i"]
+            letter = F.when(c <= 52, i).otherwise(acc["letter"])
+            total = acc["sum"] + F.get(gain, i) - F.when(i >= k, F.get(gain, i - k)).otherwise(0.0)
+            hot = (i >= k) & (total > 1e-9) & (letter >= i - k)
+            fresh = hot & (acc["b"] < i - k)
+            out = F.when(fresh & (acc["b"] > 0), F.concat(acc["out"], one(acc["a"], acc["b"]))).otherwise(acc["out"])
+            return F.struct((i + 1).alias("i"), letter.alias("letter"), total.alias("sum"), F.when(fresh, i - k).otherwise(acc["a"]).alias("a"), F.when(hot, i + 1).otherwise(acc["b"]).alias("b"), out.alias("out"))
+
+        return F.aggregate(codes, start, step, lambda acc: F.when(acc["b"] > 0, F.concat(acc["out"], one(acc["a"], acc["b"]))).otherwise(acc["out"]))
+
+    def best(places: Column, gain: Column, first: Column, shift: int) -> Column:
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), first.alias("at"))
+
+        def step(acc: Column, j: Column) -> Column:
+            total = acc["sum"] + F.get(gain, j)
+            return F.struct(total.alias("sum"), F.greatest(total, acc["best"]).alias("best"), F.when(total > acc["best"], j + shift).otherwise(acc["at"]).alias("at"))
+
+        return F.aggregate(places, start, step, lambda acc: acc["at"])
+
+    def ends(s: Column, gain: Column) -> Column:
+        a = best(F.sequence(s["a"] + k, s["a"] + 1, F.lit(-1)), gain, s["a"] + k, -1)
+        b = best(F.sequence(s["b"] - k, s["b"] - 1), gain, s["b"] - k, 1)
+        piece = lambda text: F.char_length(F.regexp_extract(text, "^[A-Za-z0-9]*+", 0))
+        wide = let(F.struct(a.alias("a"), b.alias("b")), lambda x: F.struct((x["a"] - piece(F.reverse(F.substr(value, F.lit(1), x["a"])))).alias("a"), (x["b"] + piece(F.substr(value, x["b"] + 1))).alias("b")))
+        return let(wide, lambda x: F.when(x["b"] - x["a"] >= LEAST, x).otherwise(s))
+
+    def join(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        over = (F.size(acc) > 0) & (s["a"] < F.try_element_at(acc, F.lit(-1))["b"])
+        merged = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), one(F.least(last["a"], s["a"]), F.greatest(last["b"], s["b"])))
+        return F.when(over, merged).otherwise(F.concat(acc, one(s["a"], s["b"])))
+
+    def all_of(codes: Column) -> Column:
+        wide = lambda gain: F.transform(found(codes, gain), lambda s: ends(s, gain))
+        return F.aggregate(let(gains(codes), wide), F.array().cast(pairs), join)
+
+    return let(F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c)), all_of)
+
+
 def rest(run: Column, base: Column) -> Column:
     """The parts of ``LEAST`` characters or more of a run that no base span covers; the base spans are sorted."""
     part = lambda start, end: F.when(end - start >= LEAST, F.array(F.struct(start.alias("start"), run["kind"].alias("kind"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
@@ -111,7 +181,12 @@ def scan(df: DataFrame, model: list[float], margin: float = 0.4) -> DataFrame:
     free = F.flatten(F.transform("_runs", lambda r: rest(r, F.col("_base"))))
     cut = lambda r: F.substr(text, r["start"] + 1, r["end"] - r["start"])
     free = F.filter(free, lambda r: cut(r).rlike("[A-Za-z]"))
-    random = F.filter(free, lambda r: ratio(cut(r), model) > margin)
+
+    def secret(r: Column, value: Column) -> Column:
+        parts = F.transform(stretches(value, model, margin), lambda s: F.struct((r["start"] + s["a"]).alias("start"), r["kind"].alias("kind"), (r["start"] + s["b"]).alias("end")))
+        return F.when(ratio(value, model) > margin, F.array(r)).otherwise(parts)
+
+    random = F.flatten(F.transform(free, lambda r: let(cut(r), lambda value: secret(r, value))))
     return out.withColumn("found", F.when(F.size("_runs") > 0, F.array_sort(F.concat("_base", random))).otherwise(F.col("_base"))).drop("_base", "_runs")
 
 

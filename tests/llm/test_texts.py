@@ -150,6 +150,23 @@ def test_secrets_beside_base_spans(spark):
     assert clean == {0: "é [SECRET][SECRET] end", 1: "[SECRET]" * 3, 2: "[SECRET]" * 2, 3: "Ab9[SECRET]/xY7"}
 
 
+def test_secrets_behind_names(spark):
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice(secret_scan.ALPHABET[:62]) for _ in range(n))
+    names = ["client_secret_value=", "database_connection_string_", "/user/home/config/service/session/"]
+    planted = [(name, some(n)) for name in names for n in (16, 20, 24, 32) for _ in range(3)] + [(names[0], "9xQeWvG816bUx9EPjHmaT23y")]
+    two = names[1] + some(24) + "_connection_string_of_the_database_table_" + some(16) + "/user/home/config"
+    texts = [f"é {a}{b} end" for a, b in planted] + [two, names[1] + "handler_manager_factory_service", names[2] + "get_user_name_list_item"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secret_scan.fitted(spark.createDataFrame([(1, "ordinary words stand here")], "doc_id long, text string"))
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"]] for r in secret_scan.scan(df, model).collect()}
+    for i, (a, b) in enumerate(planted):
+        assert len(got[i]) == 1 and got[i][0][0] <= 2 + len(a) and got[i][0][1] == 2 + len(a + b), (a, b, got[i])
+    assert got[len(planted) - 1] == [(22, 46)]
+    n = len(planted)
+    assert len(got[n]) == 2 and got[n][0] == (27, 51) and got[n][1] == (92, 108) and got[n + 1] == got[n + 2] == []
+
+
 def test_redaction_keeps_clean_texts(spark):
     df = spark.createDataFrame([(1, "é password=abcdefgh1 end"), (2, "clean text"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in secret_scan.redact(df, secret_scan.fitted(df)).collect()}
