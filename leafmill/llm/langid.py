@@ -1,9 +1,9 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Characters are lower-cased letters, anything else is a gap; runs of one to three characters are hashed into
-``2 ** BITS`` buckets. Counts come from a sample of at most ``per_language`` training rows of each of the
-``max_languages`` commonest languages, those of the least hashes; where a language's doc_ids repeat more than twice on
-average the sample is smaller. The matrix of log-probabilities is broadcast: at most ``max_languages`` times ``2 ** BITS`` numbers.
+``2 ** BITS`` buckets. Counts come from a sample of at most ``per_language`` training rows of every language, those of
+the least hashes; where a language's doc_ids repeat more than twice on average the sample is smaller. The matrix of
+log-probabilities is broadcast with only the buckets that a language has; texts are scored by ``BLOCK`` languages at once.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned; rows with
 a null lang teach nothing; ties go to the first language by name; repeated rows are predicted alike.
@@ -27,6 +27,7 @@ from .toxicity import held_out
 
 BITS = 16
 ORDERS = 3
+BLOCK = 64
 
 
 @lru_cache(maxsize=1)
@@ -69,66 +70,90 @@ def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], np.ndarr
     return out, at, letters
 
 
-def train(docs: DataFrame, per_language: int = 800, max_languages: int = 200) -> tuple[list[str], np.ndarray]:
-    """The commonest languages by name, and for each the log-probability of every bucket; from rows not held out."""
-    spark = docs.sparkSession
+class Logs:
+    """A matrix of log-probabilities, languages by buckets, that holds counted buckets alone; the others of a row are alike."""
+
+    def __init__(self, row: np.ndarray, bucket: np.ndarray, n: np.ndarray, languages: int):
+        order = np.argsort(row, kind="stable")
+        self.shape = (languages, 1 << BITS)
+        self.first = np.searchsorted(row[order], np.arange(languages + 1))
+        total = np.bincount(row, weights=n, minlength=languages) + 0.1 * (1 << BITS)
+        self.bucket = bucket[order].astype(np.uint16)
+        self.own = np.log((n[order] + 0.1) / total[row[order]]).astype(np.float32)
+        self.other = np.log(0.1 / total).astype(np.float32)
+
+    def block(self, lo: int, hi: int) -> np.ndarray:
+        """Rows lo to hi, behind as many zeros for characters without a bucket."""
+        out = np.zeros((hi - lo, 2 << BITS), np.float32)
+        out[:, 1 << BITS :] = self.other[lo:hi, None]
+        a, b = self.first[lo], self.first[hi]
+        row = np.repeat(np.arange(hi - lo), np.diff(self.first[lo : hi + 1]))
+        out[row, self.bucket[a:b].astype(np.int64) + (1 << BITS)] = self.own[a:b]
+        return out
+
+
+def train(docs: DataFrame, per_language: int = 800) -> tuple[list[str], Logs]:
+    """All languages by name, and for each the log-probability of every bucket; from rows not held out."""
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out(parts=3, part=1))
     least = F.xxhash64("doc_id")
-    common = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(least).alias("first")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    common = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(least).alias("first"))
     # the share of hashes that holds about twice the sample, so that no task sorts a whole language
     near = (least / 2.0**64 + 0.5 <= 2 * per_language / F.col("n")) | (least == F.col("first"))
-    known = known.join(F.broadcast(common), "lang").where(near).select("doc_id", "lang").distinct()
+    known = known.join(common, "lang").where(near).select("doc_id", "lang").distinct()
     first = known.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(least, "doc_id"))).where(F.col("nth") <= per_language)
-    ids = spark.createDataFrame([tuple(r) for r in first.select("doc_id", "lang").collect()], "id long, own string")
+    ids = first.select(F.col("doc_id").alias("id"), F.col("lang").alias("own"))
     # bounded: per_language rows of each language
-    found = docs.join(F.broadcast(ids), (docs["doc_id"] == ids["id"]) & (docs["lang"] == ids["own"]))
+    found = docs.join(ids, (docs["doc_id"] == ids["id"]) & (docs["lang"] == ids["own"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
         for b in batches:
-            langs = b["own"].to_pylist()
-            for lo, hi, buf, offs in tn.chunks(b["text"]):
+            coded = b["own"].dictionary_encode()
+            own = np.asarray(coded.indices).astype(np.int64)
+            for lo, hi, buf, offs in tn.chunks(b["text"], 1 << 19):
                 keys, at, _ = grams(buf, offs)
-                for i in range(hi - lo):
-                    own = counts.setdefault(langs[lo + i], np.zeros(2 << BITS, np.int64))
-                    for k in keys:
-                        x = k[at[i] : at[i + 1]]
-                        own += np.bincount(x, minlength=2 << BITS)
-        for lang, x in counts.items():
-            hit = np.flatnonzero(x[1 << BITS :])
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(hit), "bucket": hit.astype(np.int32), "n": x[1 << BITS :][hit]})
+                row = np.repeat(own[lo:hi], np.diff(at))
+                pair = np.concatenate([row[k > 0] << BITS | k[k > 0] & (1 << BITS) - 1 for k in keys])
+                pair, n = np.unique(pair, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"lang": coded.dictionary.take(pa.array(pair >> BITS)), "bucket": (pair & (1 << BITS) - 1).astype(np.int32), "n": n.astype(np.int64)})
 
     parts = found.select("own", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "lang string, bucket int, n long")
-    table = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    langs = sorted(set(table["lang"]))
-    counts = np.zeros((len(langs), 1 << BITS))
-    nth = {x: i for i, x in enumerate(langs)}
-    counts[[nth[x] for x in table["lang"]], table["bucket"]] = table["n"]
-    return langs, np.log((counts + 0.1) / (counts.sum(1, keepdims=True) + 0.1 * (1 << BITS)))
+    table = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    coded = table["lang"].combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names)
+    place = {x: i for i, x in enumerate(langs)}
+    row = np.array([place[x] for x in names], np.int64)[np.asarray(coded.indices)]
+    return langs, Logs(row, table["bucket"].to_numpy(), table["n"].to_numpy(), len(langs))
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], Logs]) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score (the language's posterior probability)."""
-    sent = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs = sent.value
-        table = np.zeros((max(1, len(langs)), 2 << BITS), np.float32)
-        table[: len(langs), 1 << BITS :] = logs
+        cuts = range(0, len(langs), BLOCK)
+        block = lru_cache(maxsize=1)(lambda lo: logs.block(lo, min(lo + BLOCK, len(langs))))
         for b in batches:
             for lo, hi, buf, offs in tn.chunks(b["text"], 1 << 19):
                 keys, at, letters = grams(buf, offs)
-                total = np.zeros((hi - lo, len(table)))
-                for i, own in enumerate(table):
-                    gained = np.zeros(len(keys[0]) + 1)
-                    np.cumsum(own[keys[0]] + own[keys[1]] + own[keys[2]], dtype=np.float64, out=gained[1:])
-                    total[:, i] = gained[at[1:]] - gained[at[:-1]]
-                best = total.argmax(1)
-                p = np.exp(np.clip(total - total.max(1, keepdims=True), -700, 0))
-                score = 1 / p.sum(1)
+                best, most, below = np.zeros(hi - lo, np.int64), np.full(hi - lo, -np.inf), np.zeros(hi - lo)
+                for cut in cuts:
+                    table = block(cut)
+                    total = np.zeros((hi - lo, len(table)))
+                    for i, own in enumerate(table):
+                        gained = np.zeros(len(keys[0]) + 1)
+                        np.cumsum(own[keys[0]] + own[keys[1]] + own[keys[2]], dtype=np.float64, out=gained[1:])
+                        total[:, i] = gained[at[1:]] - gained[at[:-1]]
+                    top = total.max(1)
+                    best = np.where(top > most, cut + total.argmax(1), best)
+                    more = np.maximum(top, most)
+                    below = below * np.exp(most - more) + np.exp(np.clip(total - more[:, None], -700, 0)).sum(1)
+                    most = more
+                score = 1 / np.maximum(below, 1)
                 sure = letters & bool(langs)
                 yield batch(OUT, {"doc_id": b["doc_id"][lo:hi], "held_out": b["held_out"][lo:hi], "lang_pred": [langs[j] if ok else "und" for j, ok in zip(best, sure)], "score": np.where(sure, score, 0.0)})
 

@@ -296,3 +296,15 @@ def test_language_sample_of_a_common_language(spark):
     assert langs == ["xx", "yy", "zz"] and logs.shape == (len(langs), 1 << langid.BITS)
     got = langid.predict(df, (langs, logs)).groupBy("lang_pred").count().collect()
     assert {r["lang_pred"]: r["count"] for r in got} == {"xx": 3000, "yy": 2000, "zz": 40}
+
+
+def test_language_of_many_kinds(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{k:03}": ["".join(rng.choice(letters) for _ in range(3)) for _ in range(4)] for k in range(260)}
+    data = [(k * 20 + i, " ".join(rng.choice(parts) for _ in range(60)), lang) for k, (lang, parts) in enumerate(own.items()) for i in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model[0] == sorted(own)
+    got = {r["doc_id"]: r for r in langid.predict(df, model).collect()}
+    assert all(got[i]["lang_pred"] == lang and 0 < got[i]["score"] <= 1 for i, _, lang in data)
