@@ -2,43 +2,123 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from .fonts import text_width
 from .scan import Name
-from .writer import STAMP, Writer, literal
+from .writer import STAMP, Writer, literal, name_bytes
+
+DECIMALS = 4  # of a number in a content stream; places read back are compared to three
+
+
+def operand(x) -> bytes:
+    """A number in its shortest form, a name, or a text."""
+    if isinstance(x, Name):
+        return name_bytes(x)
+    if isinstance(x, str):
+        return b"(" + literal(x) + b")"
+    shortest = f"{x:.{DECIMALS}f}".rstrip("0").rstrip(".")
+    return b"0" if shortest in ("", "-0") else shortest.encode()
+
+
+class Pen:
+    """A content stream in the making.
+
+    Texts in a row share one text object, each at a place of its own by an absolute matrix; a font is set where a text
+    needs another one than the stream has. ``fonts`` has the resource of every font that was used.
+    """
+
+    def __init__(self, resource: Callable[[str], str] | None = None):
+        self.lines: list[bytes] = []
+        self.fonts: dict[str, str] = {}
+        self.resource = resource or (lambda _: f"F{len(self.fonts) + 1}")
+        self.in_text, self.chosen = False, None
+
+    def put(self, operator: str, *operands) -> None:
+        self.lines.append(b" ".join([*map(operand, operands), operator.encode()]))
+
+    def do(self, operator: str, *operands) -> None:
+        """An operator that may not stand in a text object."""
+        self.leave_text()
+        self.put(operator, *operands)
+
+    def leave_text(self) -> None:
+        if self.in_text:
+            self.put("ET")
+            self.in_text = False
+
+    def text(self, x: float, y: float, text: str, font: str, size: float) -> None:
+        if font not in self.fonts:
+            self.fonts[font] = self.resource(font)
+        if not self.in_text:
+            self.put("BT")
+            self.in_text = True
+        if self.chosen != (font, size):
+            self.put("Tf", Name(self.fonts[font]), size)
+            self.chosen = (font, size)
+        self.put("Tm", 1, 0, 0, 1, x, y)
+        self.put("Tj", text)
 
-# Each operation: how many numbers it takes, and its format.
-SHAPES = {
-    "color": (3, "%.3f %.3f %.3f rg\n"),
-    "stroke": (3, "%.3f %.3f %.3f RG\n"),
-    "line": (5, "%.2f w %.2f %.2f m %.2f %.2f l S\n"),
-    "rect": (4, "%.2f %.2f %.2f %.2f re S\n"),
-}
+    def box(self, x: float, y: float, width: float, height: float, rgb=None) -> None:
+        """An outline, or a filled box whose colour ends with it."""
+        if rgb is None:
+            self.do("re", x, y, width, height)
+            self.do("S")
+            return
+        with Kept(self):
+            self.do("rg", *rgb)
+            self.do("re", x, y, width, height)
+            self.do("f")
+
+    def line(self, x1: float, y1: float, x2: float, y2: float, width: float) -> None:
+        self.do("w", width)
+        self.do("m", x1, y1)
+        self.do("l", x2, y2)
+        self.do("S")
+
+    def content(self) -> bytes:
+        self.leave_text()
+        return b"\n".join(self.lines) + b"\n" if self.lines else b""
+
+
+class Kept:
+    """What is set inside ends with the block."""
+
+    def __init__(self, pen: Pen):
+        self.pen = pen
+
+    def __enter__(self) -> None:
+        self.pen.do("q")
+        self.chosen = self.pen.chosen
+
+    def __exit__(self, *_) -> None:
+        self.pen.do("Q")
+        self.pen.chosen = self.chosen
 
 
 def page_content(ops: list[tuple[str, list[float], str | None]]) -> tuple[bytes, dict[str, str]]:
     """The content stream of operations (op, numbers, text), and the base font of each font resource. Operations:
     font(size; name), text(x, y; text), color, stroke, line(x1, y1, x2, y2, width), rect, fill(x, y, w, h, r, g, b)."""
-    out, fonts, now = bytearray(), {}, ("Helvetica", 12.0)
-
-    def resource(font: str) -> str:
-        return fonts.setdefault(font, f"F{len(fonts) + 1}")
-
+    pen, font, size = Pen(), "Helvetica", 12.0
     for op, v, text in ops:
-        if op == "font":
-            now = (text or "Helvetica", v[0])
-            out += b"BT /%s %.1f Tf ET\n" % (resource(now[0]).encode(), now[1])
-        elif op == "text":
-            out += b"BT /%s %.1f Tf %.2f %.2f Td (%s) Tj ET\n" % (resource(now[0]).encode(), now[1], v[0], v[1], literal(text or ""))
-        elif op == "fill":
-            out += ("q %.3f %.3f %.3f rg %.2f %.2f %.2f %.2f re f Q\n" % (*v[4:7], *v[:4])).encode()
-        elif op == "line":
-            out += (SHAPES["line"][1] % (v[4], *v[:4])).encode()
-        elif op in SHAPES:
-            n, form = SHAPES[op]
-            out += (form % tuple(v[:n])).encode()
-        else:
-            raise ValueError(f"no drawing operation: {op}")
-    return bytes(out), {res: font for font, res in fonts.items()}
+        match op:
+            case "font":
+                font, size = text or "Helvetica", v[0]
+            case "text":
+                pen.text(v[0], v[1], text or "", font, size)
+            case "color":
+                pen.do("rg", *v[:3])
+            case "stroke":
+                pen.do("RG", *v[:3])
+            case "line":
+                pen.line(*v[:5])
+            case "rect":
+                pen.box(*v[:4])
+            case "fill":
+                pen.box(*v[:4], rgb=v[4:7])
+            case _:
+                raise ValueError(f"no drawing operation: {op}")
+    return pen.content(), {resource: base for base, resource in pen.fonts.items()}
 
 
 def font_entry(base: str) -> dict:
@@ -50,11 +130,17 @@ def create(pages: list[tuple[float, float, list]], stamp: str = STAMP) -> bytes:
     if not pages:
         raise ValueError("no pages")
     w = Writer()
-    tree, refs = w.allocate(), []
+    tree, refs, known = w.allocate(), [], {}
+
+    def font(base: str):
+        if base not in known:
+            known[base] = w.add(w.allocate(), font_entry(base))
+        return known[base]
+
     for width, height, ops in pages:
         content, fonts = page_content(ops)
         body = w.add_stream(w.allocate(), {}, content)
-        resources = {"Font": {k: font_entry(v) for k, v in fonts.items()}} if fonts else {}
+        resources = {"Font": {k: font(base) for k, base in fonts.items()}} if fonts else {}
         refs.append(w.add(w.allocate(), {"Type": Name("Page"), "Parent": tree, "MediaBox": [0, 0, float(width), float(height)], "Contents": body, "Resources": resources}))
     return w.finish_pages(tree, refs, stamp=stamp)
 

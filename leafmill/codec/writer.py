@@ -80,12 +80,15 @@ class Writer:
     def add_stream(self, ref: Ref, entries: dict, data: bytes) -> Ref:
         return self.add(ref, Stream(entries | {"Filter": Name("FlateDecode")}, zlib.compress(data, 9)))
 
-    def mark(self) -> tuple:
-        return len(self.out), self.next, dict(self.places)
+    def mark(self) -> tuple[int, int]:
+        return len(self.out), self.next
 
-    def back(self, mark: tuple) -> None:
+    def back(self, mark: tuple[int, int]) -> None:
+        """To a mark that all objects allocated since have been added after."""
         del self.out[mark[0] :]
-        self.next, self.places = mark[1], dict(mark[2])
+        for num in range(mark[1], self.next):
+            self.places.pop(num, None)
+        self.next = mark[1]
 
     def final_size(self, pages: int) -> int:
         """What the file will take, about: the objects, the tree of pages and the tables."""
