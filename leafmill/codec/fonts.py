@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from string import ascii_letters
 
 from .reader import Reader
 from .scan import Name, Scanner, Stream, hex_bytes, number
@@ -97,36 +98,48 @@ ACCENTS = {"grave": "\u0300", "acute": "\u0301", "circumflex": "\u0302", "tilde"
 DIGITS = {f"{unicodedata.name(chr(c)).split()[1].lower()}": chr(c) for c in range(0x30, 0x3A)}
 
 
-@lru_cache(maxsize=4096)
-def glyph_text(name: str) -> str:
-    """The text of a glyph name: a listed name, a digit, a letter with an accent, a letter of another alphabet,
-    uniXXXX or uXXXXX; what follows none of these is its own text."""
-    base = name.split(".")[0] if not name.startswith(".") else name
-    if len(name) == 1:
-        return name
-    if base in NAMED:
-        return chr(int(NAMED[base], 16))
-    if base in DIGITS:
-        return DIGITS[base]
-    if m := re.fullmatch(r"uni([0-9A-Fa-f]{4})", base):
-        return _scalar(int(m[1], 16)) or name
+@lru_cache(maxsize=1)
+def known_glyphs() -> dict[str, str]:
+    """Glyph names to texts, by rule: listed names, digits, letters with an accent, the letters of Greek and Hebrew by
+    their names, and the numbered names of Cyrillic."""
+    out = {name: chr(int(code, 16)) for name, code in NAMED.items()} | DIGITS
+    for letter in ascii_letters:
+        for accent, mark in ACCENTS.items():
+            one = unicodedata.normalize("NFC", letter + mark)
+            if len(one) == 1:
+                out[letter + accent] = one
+    for code in (*range(0x391, 0x3CA), *range(0x5D0, 0x5EB)):
+        m = re.fullmatch(r"(?:GREEK|HEBREW) (CAPITAL |SMALL |)LETTER ([A-Z]+)", unicodedata.name(chr(code), ""))
+        if m:
+            out.setdefault(m[2].capitalize() if m[1] == "CAPITAL " else m[2].lower(), chr(code))
+    for first, start, dotted in ((10017, 0x410, 0x401), (10065, 0x430, 0x451)):
+        letters = [*range(start, start + 6), dotted, *range(start + 6, start + 32)]  # io stands after ie
+        out |= {f"afii{first + i}": chr(c) for i, c in enumerate(letters)}
+    return out
+
+
+def glyph_text(name: str, more: dict[str, str] | None = None) -> str:
+    """The text of a glyph name: that of a list given with it, of known_glyphs, uniXXXX with one or more code units, uXXXXX,
+    or of its parts between underscores; what is none of these is its own text. What follows a dot does not count."""
+    base = name.split(".")[0] or name
+    for table in (more or {}, known_glyphs()):
+        if base in table:
+            return table[base]
+    if m := re.fullmatch(r"uni((?:[0-9A-Fa-f]{4})+)", base):
+        return utf16(bytes.fromhex(m[1]))
     if m := re.fullmatch(r"u([0-9A-Fa-f]{4,6})", base):
         return _scalar(int(m[1], 16)) or name
-    for accent, mark in ACCENTS.items():
-        if base.endswith(accent) and len(base) == len(accent) + 1:
-            one = unicodedata.normalize("NFC", base[0] + mark)
-            if len(one) == 1:
-                return one
-    for alphabet in ("GREEK", "HEBREW"):
-        for case in ("CAPITAL LETTER", "SMALL LETTER", "LETTER"):
-            if (case == "CAPITAL LETTER") == base[:1].isupper():
-                try:
-                    return unicodedata.lookup(f"{alphabet} {case} {base.upper()}")
-                except KeyError:
-                    pass
+    if "_" in base.strip("_"):
+        return "".join(glyph_text(part, more) for part in base.split("_"))
     return name
 
 
+def read_glyph_list(text: str) -> dict[str, str]:
+    """A glyph list in its published form: a name, a semicolon and code points a line; # begins a comment."""
+    rows = (line.split("#")[0].strip().partition(";") for line in text.splitlines())
+    return {name.strip(): "".join(chr(int(c, 16)) for c in codes.replace(",", " ").split()) for name, _, codes in rows if name and codes}
+
+
 def _scalar(c: int) -> str:
     return chr(c) if c < 0x110000 and not 0xD800 <= c < 0xE000 else ""
 
@@ -210,7 +223,7 @@ class Font:
         for d in reader.array(x.get("Differences")):
             d = reader.resolve(d)
             if isinstance(d, Name):
-                out[code] = glyph_text(str(d))
+                out[code] = glyph_text(str(d), reader.glyphs)
                 code += 1
             elif isinstance(d, (int, float)):
                 code = int(d)

@@ -25,8 +25,39 @@ def from_rgba(pixels: np.ndarray) -> Image:
     return Image(pixels.shape[1], pixels.shape[0], pixels[..., :3].tobytes(), None if (alpha == 255).all() else alpha.tobytes())
 
 
+# Fixed values of the format: first column and row, and the steps, of each pass of an interlaced file.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _samples(raw: bytes, width: int, height: int, channels: int, depth: int, scaled: bool) -> np.ndarray:
+    """Rows of pixels of 8-bit samples from filtered rows; samples of fewer bits are scaled up unless they are indices."""
+    row = (width * channels * depth + 7) // 8
+    x = np.frombuffer(unpredict(raw, {"Predictor": 15, "Columns": width, "Colors": channels, "BitsPerComponent": depth}), np.uint8).reshape(height, row)
+    if depth == 16:
+        x = x[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(x, axis=1)
+        bits = bits[:, : bits.shape[1] // depth * depth].reshape(height, -1, depth)
+        x = (bits * (1 << np.arange(depth)[::-1])).sum(2)[:, : width * channels]
+        if scaled:
+            x = x * 255 // ((1 << depth) - 1)
+    return x.reshape(height, width, channels).astype(np.uint8)
+
+
+def _interlaced(raw: bytes, width: int, height: int, channels: int, depth: int, scaled: bool) -> np.ndarray:
+    """The pixels of seven smaller images, each filtered by itself."""
+    out, at = np.zeros((height, width, channels), np.uint8), 0
+    for x, y, across, down in PASSES:
+        wide, high = len(range(x, width, across)), len(range(y, height, down))
+        if wide and high:
+            size = high * ((wide * channels * depth + 7) // 8 + 1)
+            out[y::down, x::across] = _samples(raw[at : at + size], wide, high, channels, depth, scaled)
+            at += size
+    return out
+
+
 def read_png(data: bytes) -> Image:
-    """PNG without interlacing, of any colour type and depth."""
+    """PNG of any colour type and depth, interlaced or not."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("no PNG file")
     at, parts, palette, clear = 8, [], None, b""
@@ -42,19 +73,8 @@ def read_png(data: bytes) -> Image:
         elif kind == b"IDAT":
             parts.append(body)
         at += 12 + n
-    if laced:
-        raise ValueError("interlaced PNG files are not read")
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    row = (width * channels * depth + 7) // 8
-    raw = np.frombuffer(unpredict(zlib.decompress(b"".join(parts)), {"Predictor": 15, "Columns": width, "Colors": channels, "BitsPerComponent": depth}), np.uint8).reshape(height, row)
-    if depth == 16:
-        raw = raw[:, ::2]
-    elif depth < 8:
-        bits = np.unpackbits(raw, axis=1).reshape(height, -1, depth)
-        raw = (bits * (1 << np.arange(depth)[::-1])).sum(2)[:, : width * channels]
-        if colour != 3:
-            raw = raw * 255 // ((1 << depth) - 1)
-    x = raw.reshape(height, width, channels).astype(np.uint8)
+    x = (_interlaced if laced else _samples)(zlib.decompress(b"".join(parts)), width, height, channels, depth, colour != 3)
     out = np.full((height, width, 4), 255, np.uint8)
     if colour == 3:
         out[..., :3] = palette[x[..., 0]]

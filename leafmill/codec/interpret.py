@@ -5,7 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
+import numpy as np
+
 from .fonts import Font, utf16
+from .jpeg import decode as decode_jpeg
 from .reader import Reader
 from .scan import END, IDENTITY, Name, Op, Scanner, Stream, apply, matmul, number
 
@@ -21,6 +24,17 @@ class Span(NamedTuple):
     text: str
 
 
+class Picture(NamedTuple):
+    """An image where it is drawn: the unit square goes to the page by the matrix. rgb is None if its colours cannot be read."""
+
+    width: int
+    height: int
+    matrix: list[float]
+    opacity: float
+    rgb: bytes | None
+    alpha: bytes | None
+
+
 @dataclass
 class State:
     ctm: list[float] = field(default_factory=lambda: list(IDENTITY))
@@ -30,6 +44,7 @@ class State:
     words: float = 0.0
     scale: float = 100.0
     lead: float = 0.0
+    opacity: float = 1.0
 
 
 def actual_text(data: bytes) -> str:
@@ -47,6 +62,7 @@ class Interpreter:
         self.matrix, self.line = list(IDENTITY), list(IDENTITY)
         self.marks: list[tuple | None] = []
         self.spans: list[Span] = []
+        self.images: list[tuple[Stream, list[float], float]] = []
 
     def font(self) -> Font:
         name = self.state.font
@@ -114,12 +130,22 @@ class Interpreter:
 
     def form(self, name) -> None:
         stream = self.reader.resolve(self.reader.dict(self.resources.get("XObject")).get(name)) if isinstance(name, Name) else None
+        if isinstance(stream, Stream) and stream.entries.get("Subtype") == "Image":
+            self.images.append((stream, list(self.state.ctm), self.state.opacity))
         if not isinstance(stream, Stream) or stream.entries.get("Subtype") != "Form" or self.depth >= DEEPEST_FORM:
             return
         own = [number(self.reader.resolve(x)) for x in self.reader.array(stream.entries.get("Matrix"))]
         ctm = matmul(own, self.state.ctm) if len(own) == 6 else self.state.ctm
         below = Interpreter(self.reader, stream.entries.get("Resources") or self.resources, self.depth + 1, ctm, self.entries)
         self.spans += below.run(self.reader.decoded(stream))
+        self.images += below.images
+
+    def fade(self, name) -> None:
+        """The opacity of a graphics state by its name."""
+        state = self.reader.dict(self.reader.dict(self.resources.get("ExtGState")).get(name)) if isinstance(name, Name) else {}
+        share = self.reader.resolve(state.get("ca"))
+        if isinstance(share, (int, float)):
+            self.set(opacity=float(share))
 
     def mark(self, properties=None) -> None:
         if isinstance(properties, Name):
@@ -170,6 +196,7 @@ ACTIONS = {
     "Q": (0, lambda i, v: i.restore()),
     "cm": (6, lambda i, v: i.set(ctm=matmul([number(x) for x in v], i.state.ctm))),
     "Do": (1, lambda i, v: i.form(v[0])),
+    "gs": (1, lambda i, v: i.fade(v[0])),
     "BMC": (0, lambda i, v: i.mark()),
     "BDC": (2, lambda i, v: i.mark(v[1])),
     "EMC": (0, lambda i, v: i.unmark()),
@@ -194,3 +221,27 @@ def page_spans(reader: Reader, page: dict) -> list[Span]:
         end = apply(m, s.end_x, s.y)[0]
         out.append(s._replace(x=x, y=y, end_x=end))
     return out
+
+
+def samples(reader: Reader, stream: Stream) -> bytes | None:
+    """Rows of samples of an image: those of a JPEG file, or 8-bit ones as they are."""
+    if [n for n, _ in reader.filters(stream.entries)] == ["DCTDecode"]:
+        return decode_jpeg(stream.raw).astype(np.uint8).tobytes()
+    return reader.decoded(stream) if reader.resolve(stream.entries.get("BitsPerComponent")) == 8 else None
+
+
+def picture(reader: Reader, stream: Stream, matrix: list[float], opacity: float) -> Picture:
+    width, height = (int(number(reader.resolve(stream.entries.get(k)))) for k in ("Width", "Height"))
+    data, mask = samples(reader, stream), reader.resolve(stream.entries.get("SMask"))
+    if data is not None and len(data) == width * height:
+        data = np.repeat(np.frombuffer(data, np.uint8), 3).tobytes()
+    rgb = data if data is not None and len(data) == 3 * width * height else None
+    return Picture(width, height, matrix, opacity, rgb, samples(reader, mask) if isinstance(mask, Stream) else None)
+
+
+def page_images(reader: Reader, page: dict) -> list[Picture]:
+    """The images of a page in the order in which they are drawn, in displayed space."""
+    i = Interpreter(reader, page.get("Resources"))
+    i.run(reader.content(page))
+    m = turned(reader.rotation(page), reader.media_box(page))
+    return [picture(reader, stream, matmul(own, m), opacity) for stream, own, opacity in i.images]

@@ -12,10 +12,11 @@ LETTER_PAGE = [0.0, 0.0, 612.0, 792.0]
 
 
 class Reader:
-    """Resolves references on demand; the newest cross-reference entry of an object counts."""
+    """Resolves references on demand; the newest cross-reference entry of an object counts. glyphs: texts of glyph names
+    beyond those that follow a rule."""
 
-    def __init__(self, data: bytes):
-        self.data, self.trailer = data, {}
+    def __init__(self, data: bytes, glyphs: dict[str, str] | None = None):
+        self.data, self.trailer, self.glyphs = data, {}, glyphs
         self.places: dict[int, tuple] = {}  # ("at", offset) or ("in", stream number, index)
         self.known: dict[int, object] = {}
         self.busy: set[int] = set()

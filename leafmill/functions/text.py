@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from string import ascii_letters
+import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..codec.fonts import ACCENTS, NAMED, WIDTHS, glyph_text, standard_widths
+from ..codec.fonts import WIDTHS, known_glyphs, standard_widths
 from ..options import HEADER_BYTES
 
 EDGES = r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$"
@@ -68,9 +68,9 @@ def escape_pdf(c: Column) -> Column:
 
 
 def glyph_to_text(c: Column) -> Column:
-    """A glyph name's text: a listed name, a letter with an accent, uniXXXX, or the name itself."""
-    known = {k: chr(int(v, 16)) for k, v in NAMED.items()} | {k: glyph_text(k) for k in (a + m for a in ascii_letters for m in ACCENTS) if len(glyph_text(k)) == 1}
-    names = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.lit(v))])
+    """A glyph name's text: one of the names that follow a rule, uniXXXX, or the name itself. For a whole glyph list
+    join with sources.glyphs.read_glyph_list."""
+    names = F.from_json(F.lit(json.dumps(known_glyphs())), "map<string,string>")
     uni = F.decode(F.unhex(F.substr(c, F.lit(4), F.lit(4))), "UTF-16BE")
     return F.when(F.length(c) == 1, c).otherwise(F.coalesce(F.try_element_at(names, c), F.when(c.rlike("^uni[0-9A-Fa-f]{4}$"), uni), c))
 

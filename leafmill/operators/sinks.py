@@ -54,15 +54,23 @@ def text_ops(texts: DataFrame, font: str | None = None, size: float = 12.0) -> D
 
 def merge_documents(docs: DataFrame, selections: DataFrame, opts: MergeOptions | None = None, stamp: str = STAMP) -> DataFrame:
     """(merge_id, data, total_pages, included_pages, oversize, size, max_size, error) of selections (merge_id, src_no,
-    doc_id, pages): pages array<int> from 0, those below zero from the end, null: all."""
+    doc_id, pages): pages array<int> from 0, those below zero from the end, null: all. A merge with a source that is not
+    among the documents, or without content, has an error and no data. A document is sent once to each merge that
+    wants it, however often its pages are chosen there."""
     opts = opts or MergeOptions()
-    own = selections.select(F.col("merge_id").cast("string").alias("merge_id"), "src_no", F.col("doc_id").cast("string").alias("doc_id"), "pages").join(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content"), "doc_id")
-    each = own.groupBy("merge_id").agg(F.array_sort(F.collect_list(F.struct("src_no", "pages", "content"))).alias("sources"))
+    own = selections.select(F.col("merge_id").cast("string").alias("merge_id"), "src_no", F.col("doc_id").cast("string").alias("doc_id"), "pages")
+    own = own.groupBy("merge_id", "doc_id").agg(F.collect_list(F.struct("src_no", "pages")).alias("chosen"))
+    own = own.join(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content"), "doc_id", "left")
+    each = own.groupBy("merge_id").agg(F.collect_list(F.struct("doc_id", "chosen", "content")).alias("sources"))
     schema = pa.schema([("merge_id", pa.string()), ("data", pa.binary()), ("total_pages", pa.int32()), ("included_pages", pa.int32()), ("oversize", pa.bool_()), ("size", pa.int64()), ("max_size", pa.int64()), ("error", pa.string())])
 
     def one(key: str, sources: list[dict]) -> tuple:
         try:
-            m = compose.merge([(s["content"], s["pages"]) for s in sources], opts.max_size, opts.policy, stamp)
+            missing = sorted(str(s["doc_id"]) for s in sources if s["content"] is None)
+            if missing:
+                raise ValueError(f"no such source: {', '.join(missing)}")
+            parts = sorted(((c["src_no"], c["pages"] is not None, c["pages"] or [], s["doc_id"], s["content"]) for s in sources for c in s["chosen"]), key=lambda p: p[:4])
+            m = compose.merge([(content, pages if some else None) for _, some, pages, _, content in parts], opts.max_size, opts.policy, stamp)
             return key, m.data, m.total_pages, m.included_pages, False, len(m.data), opts.max_size, None
         except compose.Oversize as e:
             return key, None, e.total, e.included, True, e.size, e.limit, str(e)

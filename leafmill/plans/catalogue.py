@@ -10,11 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytes_queries, edit_queries, layout_queries, quote_queries, text_queries
+from . import bytes_queries, codec_queries, edit_queries, layout_queries, quote_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "invoice_roundtrip"
-MODULES = (bytes_queries, text_queries, layout_queries, edit_queries, quote_queries)
+MODULES = (bytes_queries, codec_queries, text_queries, layout_queries, edit_queries, quote_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import search
-from ..sources.pdf import extract_pages, extract_spans
+from ..sources.pdf import extract_pages, extract_spans, keyed_files
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def read_stream(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """(doc_id, path, content) of files as they appear below a path."""
-    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), "path", "content")
+    """(doc_id, name, content) of files as they appear below a path."""
+    return keyed_files(spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob).load(path))
 
 
 def spans(files: DataFrame) -> DataFrame:

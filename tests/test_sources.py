@@ -5,8 +5,10 @@ import pytest
 
 from leafmill import schemas
 from leafmill.codec import draw
+from leafmill.codec.scan import Name
 from leafmill.operators import quotes, sinks
-from leafmill.sources import pdf
+from leafmill.plans import codec_queries
+from leafmill.sources import glyphs, pdf
 from leafmill.streaming import files
 
 
@@ -21,6 +23,8 @@ def folder(tmp_path_factory):
 
 def test_files(spark, folder):
     docs = pdf.read_files(spark, folder)
+    assert {(r["doc_id"], r["name"]) for r in docs.select("doc_id", "name").collect()} == {(f"file:{folder}/{n}", n) for n in ("a.pdf", "b.pdf", "broken.pdf")}
+    docs = docs.withColumn("doc_id", docs["name"])
     spans = {(r["doc_id"], r["page"], r["text"]) for r in pdf.extract_spans(docs).collect()}
     assert spans == {("a.pdf", 0, "alpha widget"), ("a.pdf", 1, "second page"), ("b.pdf", 0, "beta")}
     assert {r["text"] for r in pdf.extract_spans(docs, pages=[1]).collect()} == {"second page"}
@@ -29,6 +33,29 @@ def test_files(spark, folder):
     assert {r["doc_id"]: r["n_pages"] for r in pdf.extract_metadata(docs).collect()} == {"a.pdf": 2, "b.pdf": 1, "broken.pdf": None}
 
 
+def test_equal_names(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.pdf").write_bytes(draw.create([(612, 792, [("text", [72, 700], f"from {folder}")])]))
+    spans = pdf.extract_spans(pdf.read_files(spark, str(tmp_path)))
+    assert {(r["doc_id"], r["text"]) for r in spans.collect()} == {(f"file:{tmp_path}/{f}/x.pdf", f"from {f}") for f in ("a", "b")}
+    pdf.register(spark)
+    both = spark.read.format("pdf_spans").load(f"{tmp_path}/*/x.pdf")
+    assert {r["doc_id"] for r in both.collect()} == {f"file:{tmp_path}/{f}/x.pdf" for f in ("a", "b")}
+    assert both.where("page = 0 AND page = 2").count() == 0
+
+
+def test_glyph_list(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("# a list\nsnowman;2603\npair;0041 0301\nsnowman;2603 # again\n\n")
+    found = glyphs.read_glyph_list(spark, str(tmp_path / "list.txt"))
+    assert glyphs.glyph_texts(found) == {"snowman": "\u2603", "pair": "A\u0301"}
+    names = spark.createDataFrame([("snowman",), ("eacute",), ("other",)], "g string")
+    assert {r["g"]: r["text"] for r in glyphs.with_glyph_text(names, "g", found).collect()} == {"snowman": "\u2603", "eacute": "é", "other": "other"}
+    font = {"Type": Name("Font"), "Subtype": Name("Type1"), "Encoding": {"Differences": [1, Name("snowman")]}}
+    docs = spark.createDataFrame([("d", bytearray(codec_queries.one_page(b"BT /F1 9 Tf <01> Tj ET", {"F1": font})))], "doc_id string, content binary")
+    assert pdf.extract_spans(docs).first()["text"] == "snowman" and pdf.extract_spans(docs, glyphs=glyphs.glyph_texts(found)).first()["text"] == "\u2603"
+
+
 def test_data_source_and_functions(spark, folder):
     pdf.register(spark)
     df = spark.read.format("pdf_spans").load(f"{folder}/*.pdf")
@@ -41,7 +68,7 @@ def test_data_source_and_functions(spark, folder):
 def test_stream(spark, folder, tmp_path):
     files.write_hits(files.read_stream(spark, folder), "widget", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(120)
     hits = spark.read.parquet(f"{tmp_path}/out").collect()
-    assert [(h["doc_id"], h["page"], h["text"]) for h in hits] == [("a.pdf", 0, "widget")]
+    assert [(h["doc_id"], h["page"], h["text"]) for h in hits] == [(f"file:{folder}/a.pdf", 0, "widget")]
 
 
 def test_image_files(spark, tmp_path):
