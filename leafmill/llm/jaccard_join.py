@@ -1,10 +1,13 @@
 """N-gram Jaccard join: Bayesian candidate pruning.
 
-Texts are sets of shingles of five words. Equal sets are one set with copies. MinHash bands gather sets that may be
-similar; the connected components of these gatherings are dealt, in blocks of bounded size, to tasks. There pairs are
-compared a few MinHash values at a time: with a flat prior, the posterior probability that the similarity reaches the
-threshold after m equal values of n is P(Binomial(n + 1, t) <= m), and a pair below ``tolerance`` is dropped. All others
-are verified on the whole shingle sets. A block gives link counts and a spanning label of each set, never pairs.
+Texts are sets of shingles of five words. Equal sets are one set with copies. Sets that share a MinHash band are in one
+bucket of that band. A set's home is the largest of its buckets; the sets of a home are dealt into blocks of bounded
+size. Two blocks are compared where they have sets of one bucket, and of each block only those sets are sent that share
+a bucket with the other: so a pair is met once, in the task of its two blocks, and no pairs are ever rows. There pairs
+are compared a few MinHash values at a time: with a flat prior, the posterior probability that the similarity reaches
+the threshold after m equal values of n is P(Binomial(n + 1, t) <= m), and a pair below ``tolerance`` is dropped and not
+looked at again. All others are verified on the whole shingle sets. A task gives link counts and a spanning label of each
+set; classes are the connected components of these verified links.
 
 A pair of similarity s is missed by all bands with probability (1 - s ** rows) ** bands, at 0.8 about 3e-6.
 
@@ -89,20 +92,35 @@ def least_matches(threshold: float, tolerance: float, n: int) -> int:
     return n
 
 
-def similar(a_sig: np.ndarray, b_sig: np.ndarray, a_sets: list, b_sets: list, threshold: float, tolerance: float, same: bool) -> np.ndarray:
-    """Which pairs of sets (sorted distinct hashes) reach the threshold; same: a and b are one block, pairs once."""
-    alive = np.triu(np.ones((len(a_sets), len(a_sets)), bool), 1) if same else np.ones((len(a_sets), len(b_sets)), bool)
-    equal = np.zeros(alive.shape, np.uint16)
-    step = 16
-    for i in range(0, a_sig.shape[1], step):
-        for c in range(i, i + step):
-            equal += a_sig[:, c][:, None] == b_sig[:, c][None, :]
-        alive &= equal >= least_matches(threshold, tolerance, i + step)
-        if not alive.any():
-            return alive
-    rows, cols = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
-    sets = [a_sets[i] for i in rows] + [b_sets[j] for j in cols]
-    size = np.array([len(x) for x in sets])
+def alike(a_sig: np.ndarray, b_sig: np.ndarray, threshold: float, tolerance: float, same: bool, step: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that pruning leaves, as rows of a and of b; same: a and b are one block, pairs once. The first values
+    are compared for all pairs, the others for those alone that are still alive."""
+    n = a_sig.shape[1]
+    equal = np.zeros((len(a_sig), len(b_sig)), np.uint16)
+    for c in range(step):
+        equal += a_sig[:, c][:, None] == b_sig[:, c][None, :]
+    alive = equal >= least_matches(threshold, tolerance, step)
+    i, j = np.nonzero(np.triu(alive, 1) if same else alive)
+    m = equal[i, j].astype(np.int64)
+    for lo in range(step, n, step):
+        if not len(i):
+            break
+        for c in range(lo, lo + step):
+            m += a_sig[i, c] == b_sig[j, c]
+        left = m >= least_matches(threshold, tolerance, lo + step)
+        i, j, m = i[left], j[left], m[left]
+    return i, j
+
+
+def similar(a_sig: np.ndarray, b_sig: np.ndarray, a_sets: list, b_sets: list, threshold: float, tolerance: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of sets (sorted distinct hashes) that reach the threshold, as rows of a and of b."""
+    i, j = alike(a_sig, b_sig, threshold, tolerance, same)
+    if not len(i):
+        return i, j
+    rows, x = np.unique(i, return_inverse=True)
+    cols, y = np.unique(j, return_inverse=True)
+    sets = [a_sets[k] for k in rows] + [b_sets[k] for k in cols]
+    size = np.array([len(k) for k in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     _, nth, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[nth] > 1
@@ -113,18 +131,17 @@ def similar(a_sig: np.ndarray, b_sig: np.ndarray, a_sets: list, b_sets: list, th
     both = np.zeros((len(rows), len(cols)), np.float32)
     width = 4096
     for lo in range(0, int(nth[-1]) + 1 if len(nth) else 0, width):
-        i, j = np.searchsorted(nth, [lo, lo + width])
+        first, last = np.searchsorted(nth, [lo, lo + width])
         m = np.zeros((len(sets), width), np.float32)
-        m[owner[i:j], nth[i:j] - lo] = 1
+        m[owner[first:last], nth[first:last] - lo] = 1
         both += m[: len(rows)] @ m[len(rows) :].T
-    union = size[: len(rows)][:, None] + size[len(rows) :][None, :] - both
-    out = np.zeros_like(alive)
-    out[np.ix_(rows, cols)] = (both >= threshold * union - 1e-6) & alive[np.ix_(rows, cols)]
-    return out
+    both = both[x, y]
+    enough = both >= threshold * (size[x] + size[len(rows) + y] - both) - 1e-6
+    return i[enough], j[enough]
 
 
-SETS = pa.schema([("part", pa.int64()), ("set_id", pa.int64()), ("copies", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32()), ("signature", pa.binary()), ("members", pa.binary())])
-SETS_SQL = "part long, set_id long, copies long, blocks int, block int, signature binary, members binary"
+SETS = pa.schema([("set_id", pa.int64()), ("copies", pa.int64()), ("block", pa.int64()), ("others", pa.list_(pa.int64())), ("signature", pa.binary()), ("members", pa.binary())])
+SETS_SQL = "set_id long, copies long, block long, others array<long>, signature binary, members binary"
 LINKS = pa.schema([("set_id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
@@ -134,7 +151,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, first = shingles(buf, offs)
             sig = signatures(h, first)
             sets = [np.unique(h[i:j]).tobytes() for i, j in zip(first.tolist(), first[1:].tolist())]
-            yield batch(SETS, {x: b[x][lo:hi] for x in ("part", "set_id", "copies", "blocks", "block")} | {"signature": [x.tobytes() for x in sig], "members": sets})
+            yield batch(SETS, {x: b[x][lo:hi] for x in ("set_id", "copies", "block", "others")} | {"signature": [x.tobytes() for x in sig], "members": sets})
 
 
 def _compare(threshold: float, tolerance: float):
@@ -145,13 +162,12 @@ def _compare(threshold: float, tolerance: float):
         sets = [np.frombuffer(x, np.uint64) for x in rows["members"].to_pylist()]
         lo, hi = rows["i"][0].as_py(), rows["j"][0].as_py()
         a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        hit = similar(sig[a], sig[b], [sets[i] for i in a], [sets[i] for i in b], threshold, tolerance, lo == hi)
+        x, y = similar(sig[a], sig[b], [sets[i] for i in a], [sets[i] for i in b], threshold, tolerance, lo == hi)
+        x, y = a[x], b[y]
         links = np.zeros(len(ids), np.int64)
-        links[a] += hit @ copies[b]
-        links[b] += copies[a] @ hit
+        np.add.at(links, x, copies[y])
+        np.add.at(links, y, copies[x])
         root = np.arange(len(ids))
-        x, y = np.nonzero(hit)
-        x, y = a[x], b[y]
         order = np.argsort(ids, kind="stable")
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.arange(len(ids))
@@ -170,7 +186,7 @@ def _compare(threshold: float, tolerance: float):
         have: list[pa.RecordBatch] = []
         last = None
         for b in batches:
-            key = np.stack([b[x].to_numpy().astype(np.int64) for x in ("part", "i", "j")], 1)
+            key = np.stack([b[x].to_numpy().astype(np.int64) for x in ("i", "j")], 1)
             edge = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
             for i, j in zip(edge, edge[1:]):
                 if have and tuple(key[i]) != last:
@@ -184,6 +200,23 @@ def _compare(threshold: float, tolerance: float):
     return run
 
 
+def dealt(member: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(set_id, block) of sets in buckets (set_id, band, n), and (set_id, others): the other blocks with a set that
+    shares a bucket. A bucket of b sets in d blocks costs b * d rows; in a large one, d is about b / BLOCK_SETS."""
+    home = member.groupBy("set_id").agg(F.max(F.struct("n", "band")).alias("home")).select("set_id", F.col("home.band").alias("home"))
+    home = scratch.keep(home.join(sets.select("set_id", "shingles"), "set_id"), "home")
+    room = F.greatest(F.count("*") / BLOCK_SETS, F.sum("shingles") / BLOCK_SHINGLES)
+    blocks = scratch.keep(home.groupBy("home").agg(F.ceil(room).alias("blocks")), "blocks")
+    nth = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
+    placed = scratch.keep(home.join(blocks, "home").select("set_id", F.xxhash64("home", nth).alias("block")), "placed")
+    seen = scratch.keep(member.select("set_id", "band").join(placed, "set_id"), "seen")
+    reached = scratch.keep(seen.select("band", F.col("block").alias("other")).distinct(), "reached")
+    meets = seen.join(reached, "band").where("block != other").select("set_id", "other").distinct()
+    others = scratch.keep(meets.groupBy("set_id").agg(F.collect_list("other").alias("others")), "others")
+    scratch.free("home", "blocks", "seen", "reached")
+    return placed, others
+
+
 def classes(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, tolerance: float = 1e-9) -> DataFrame:
     """(doc_id, text_key, class_id, class_key, n_links, n_copies) of documents (doc_id, text, text_key)."""
     own = scratch.keep(docs.mapInArrow(_banded, BANDED_SQL), "banded")
@@ -193,22 +226,24 @@ def classes(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, tolerance
     firsts = sets.select("set_id", "first.doc_id", "first.text_key")
     keys = by_document(known.select("doc_id", "text_key", "bands"), firsts, "inner").dropDuplicates(["set_id"]).select("set_id", F.explode("bands").alias("band"))
     keys = scratch.keep(keys, "keys")
-    shared = keys.groupBy("band").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo != hi")
-    edges = keys.join(shared, "band").where("set_id != lo").select(F.col("set_id").alias("u"), F.col("lo").alias("v"))
-    parts = scratch.keep(components(edges, scratch, "gathered"), "parts").withColumnsRenamed({"node": "set_id", "component": "part"})
-    size = parts.join(sets, "set_id").groupBy("part").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = parts.join(size, "part").join(sets, "set_id").select("first.doc_id", "first.text_key", "part", "set_id", "copies", "blocks", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"))
-    texts = by_document(docs, members, "inner").dropDuplicates(["set_id"]).select("text", "part", "set_id", "copies", "blocks", "block")
-    dealt = texts.mapInArrow(_sets, SETS_SQL).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "copies", "signature", "members")
-    found = dealt.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(_compare(threshold, tolerance), "set_id long, links long, root long")
+    shared = scratch.keep(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    member = scratch.keep(keys.join(shared, "band"), "member")
+    scratch.free("keys", "shared")
+    placed, others = dealt(member, sets, scratch)
+    where = placed.join(others, "set_id", "left").join(sets.select("set_id", "copies", "first"), "set_id")
+    where = where.select("first.doc_id", "first.text_key", "set_id", "copies", "block", F.concat(F.array("block"), F.coalesce("others", F.array())).alias("others"))
+    texts = by_document(docs, where, "inner").dropDuplicates(["set_id"]).select("text", "set_id", "copies", "block", "others")
+    sent = texts.mapInArrow(_sets, SETS_SQL).withColumn("other", F.explode("others"))
+    sent = sent.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "copies", "signature", "members")
+    found = sent.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_compare(threshold, tolerance), "set_id long, links long, root long")
     links = scratch.keep(found, "links")
-    scratch.free("keys")
+    scratch.free("member", "placed", "others")
     near = scratch.keep(components(links.where("set_id != root").select(F.col("set_id").alias("u"), F.col("root").alias("v")), scratch, "linked"), "near").withColumnsRenamed({"node": "set_id", "component": "class"})
     total = links.groupBy("set_id").agg(F.sum("links").alias("links"))
     every = sets.join(near, "set_id", "left").join(total, "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
-    heads = every.groupBy("class").agg(F.min("first").alias("head"))
-    every = every.join(heads, "class").select("set_id", "head", F.coalesce("links", F.lit(0)).alias("links"), "copies")
+    every = scratch.keep(every.select("set_id", "class", "first", F.coalesce("links", F.lit(0)).alias("links"), "copies"), "every")
+    heads = scratch.keep(every.groupBy("class").agg(F.min("first").alias("head")), "heads")
+    every = every.join(heads, "class").select("set_id", "head", "links", "copies")
     out = own.select("doc_id", "text_key", "set_id").join(every, "set_id", "left")
     alone = F.col("head").isNull()
     out = out.select("doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"), F.when(alone, F.col("text_key")).otherwise(F.col("head.text_key")).alias("class_key"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
