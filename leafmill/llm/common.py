@@ -19,12 +19,25 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file:///tmp/leafmill-{spark.sparkContext.applicationId}"
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file:///tmp/leafmill-{spark.sparkContext.applicationId}"  # one process: its own folder is shared
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it takes it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = file_system(spark, path)
+    fs.delete(where, True)
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
@@ -50,12 +63,10 @@ class Scratch:
 
     def free(self, *names: str) -> None:
         """Delete tables that no later step reads, and let Spark drop the shuffle files behind them."""
-        jvm = self.spark._jvm
         for at in [p for p in self.paths if not names or p.rpartition("-")[2] in names]:
-            where = jvm.org.apache.hadoop.fs.Path(at)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            delete(self.spark, at)
             self.paths.remove(at)
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
 
     def __exit__(self, *_) -> None:
         self.free()

@@ -5,9 +5,9 @@ in a row with the same name form a segment. Equal windows have equal names where
 be repeated where its name is; and where all segments of a name are the same text, all their windows repeat. What is
 left, segments that share a name but differ somewhere, is compared window by window.
 
-A segment is a row of (fp, span, doc_id, text_key, start, n, twice): its name, the hash of all it covers, where its
-windows start, how many there are, and whether its name occurs in it twice, so that it may repeat itself. There are
-about 2 / (n - k + 2) rows a unit.
+A segment is a row of (fp, span, check, doc_id, text_key, start, n, twice): its name, two independent 64-bit hashes of
+all it covers, where its windows start, how many there are, and whether its name occurs in it twice, so that it may
+repeat itself. There are about 2 / (n - k + 2) rows a unit. Texts are taken as equal where both hashes are.
 """
 
 from __future__ import annotations
@@ -17,27 +17,29 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .common import batch
 
 LOW = np.uint64(4095)
-SEGMENTS = pa.schema([("fp", pa.int64()), ("span", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("twice", pa.bool_())])
-SEGMENTS_SQL = "fp long, span long, doc_id long, text_key long, start int, n int, twice boolean"
+SEGMENTS = pa.schema([("fp", pa.int64()), ("span", pa.int64()), ("check", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("twice", pa.bool_())])
+SEGMENTS_SQL = "fp long, span long, check long, doc_id long, text_key long, start int, n int, twice boolean"
 
-# A unit reader gives, for bytes and offsets, a value for each unit and the first unit of each row.
-Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+OTHER = tn.seeds(256, 3)
 
+# A unit reader gives, for bytes and offsets, two independent values for each unit and the first unit of each row.
+Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-def word_units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def word_units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end, first = tn.words(buf, offs)
-    return tn.word_hashes(buf, start, end), first
+    return tn.word_hashes(buf, start, end), tn.word_hashes(buf, start, end, OTHER), first
 
 
-def byte_units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return tn.BYTE[buf], offs
+def byte_units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tn.BYTE[buf], OTHER[buf], offs
 
 
 def least(x: np.ndarray, width: int) -> np.ndarray:
@@ -49,12 +51,12 @@ def least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def segments(values: np.ndarray, first: np.ndarray, n: int, k: int) -> dict[str, np.ndarray]:
-    """The segments of rows of units: row, start (in the row), n, fp, span, twice."""
+def segments(values: np.ndarray, other: np.ndarray, first: np.ndarray, n: int, k: int) -> dict[str, np.ndarray]:
+    """The segments of rows of units: row, start (in the row), n, fp, span, check, twice."""
     units, width = len(values), n - k + 1
     if units < n:
         none = np.zeros(0, np.int64)
-        return {"row": none, "start": none, "n": none, "fp": none, "span": none, "twice": none.astype(bool)}
+        return {"row": none, "start": none, "n": none, "fp": none, "span": none, "check": none, "twice": none.astype(bool)}
     p = tn.prefix(values)
     g = (p[k:] - p[:-k]) * tn.powers(tn.R_INV, len(p))[: len(p) - k]
     g ^= g >> np.uint64(32)
@@ -87,6 +89,7 @@ def segments(values: np.ndarray, first: np.ndarray, n: int, k: int) -> dict[str,
         "n": last - start + 1,
         "fp": name[start].view(np.int64),
         "span": tn.spans(p, start, last + n).view(np.int64),
+        "check": tn.spans(tn.prefix(other), start, last + n).view(np.int64),
         "twice": (many[last + 1] > many[start]) | (last - start >= width) | forced,
     }
 
@@ -109,31 +112,41 @@ def find(docs: DataFrame, units: Units, n: int, k: int, chunk: int) -> DataFrame
 
 
 def entries(found: DataFrame) -> DataFrame:
-    """One row a name: how many segments have it, the least and the greatest span, and whether one has it twice."""
-    return found.groupBy("fp").agg(F.count("*").alias("segments"), F.min("span").alias("span_lo"), F.max("span").alias("span_hi"), F.bool_or("twice").alias("any_twice"))
+    """One row a name: how many segments have it, the least and the greatest of both hashes, and whether one has it twice."""
+    ends = [f(x).alias(f"{x}_{end}") for x in ("span", "check") for f, end in ((F.min, "lo"), (F.max, "hi"))]
+    return found.groupBy("fp").agg(F.count("*").alias("segments"), *ends, F.bool_or("twice").alias("any_twice"))
 
 
 def merged(parts: DataFrame) -> DataFrame:
     """Entries of several runs as entries of one."""
-    return parts.groupBy("fp").agg(F.sum("segments").alias("segments"), F.min("span_lo").alias("span_lo"), F.max("span_hi").alias("span_hi"), F.bool_or("any_twice").alias("any_twice"))
+    ends = [f(f"{x}_{end}").alias(f"{x}_{end}") for x in ("span", "check") for f, end in ((F.min, "lo"), (F.max, "hi"))]
+    return parts.groupBy("fp").agg(F.sum("segments").alias("segments"), *ends, F.bool_or("any_twice").alias("any_twice"))
+
+
+def repeating() -> Column:
+    """Of entries: the name may repeat."""
+    return (F.col("segments") > 1) | F.col("any_twice")
 
 
 def judged(found: DataFrame, index: DataFrame) -> DataFrame:
-    """Segments whose name may repeat, with whole: every window of it repeats for sure."""
-    alike = F.col("span_lo") == F.col("span_hi")
-    index = index.where((F.col("segments") > 1) | F.col("any_twice"))
-    return found.join(index, "fp").withColumn("whole", alike & (F.col("segments") > 1)).drop("segments", "span_lo", "span_hi", "any_twice")
+    """Segments whose name may repeat, by the entries of those names, with whole: every window of it repeats for sure."""
+    alike = (F.col("span_lo") == F.col("span_hi")) & (F.col("check_lo") == F.col("check_hi"))
+    names = index.select("fp", (alike & (F.col("segments") > 1)).alias("whole"))
+    return found.join(names, "fp")
+
+
+TEXT = ("fp", "span", "check")
 
 
 def kinds(mixed: DataFrame) -> DataFrame:
-    """(fp, span, copies, one): the different texts under a name, how many segments have each, and one of them."""
+    """(fp, span, check, copies, one): the different texts under a name, how many segments have each, and one of them."""
     order = F.struct("text_key", "start", F.coalesce("doc_id", F.lit(0)))
-    return mixed.groupBy("fp", "span").agg(F.count("*").alias("copies"), F.min_by(F.struct("doc_id", "text_key", "start", "n"), order).alias("one"))
+    return mixed.groupBy(*TEXT).agg(F.count("*").alias("copies"), F.min_by(F.struct("doc_id", "text_key", "start", "n"), order).alias("one"))
 
 
 def copied(mixed: DataFrame, known: DataFrame) -> DataFrame:
     """Places of the segments whose text another segment has too."""
-    return mixed.join(known.where("copies > 1").select("fp", "span"), ["fp", "span"]).select("doc_id", "text_key", "start", "n")
+    return mixed.join(known.where("copies > 1").select(*TEXT), list(TEXT)).select("doc_id", "text_key", "start", "n")
 
 
 def per_document(rows: DataFrame, name: str) -> DataFrame:

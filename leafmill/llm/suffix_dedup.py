@@ -24,7 +24,7 @@ from . import segments as sg
 from . import textnum as tn
 from .bpe import ranges
 from .common import Scratch, batch, by_document, documents
-from .substring_runs import OTHER, window_rows
+from .substring_runs import window_rows
 
 CHUNK = 1 << 19
 
@@ -156,7 +156,8 @@ def by_suffixes(spans: DataFrame, n: int, limit: int = CHUNK) -> DataFrame:
 def repeated_strings(docs: DataFrame, scratch: Scratch, n: int = 400, k: int = 64, wide: int = 2000) -> DataFrame:
     """(doc_id, text_key, cut): for each document with repeated strings of n bytes, the places where they start."""
     found = scratch.keep(sg.find(docs, sg.byte_units, n, k, CHUNK), "segments")
-    known = scratch.keep(sg.judged(found, sg.entries(found)), "judged")
+    names = scratch.keep(sg.entries(found).where(sg.repeating()), "names")
+    known = scratch.keep(sg.judged(found, names), "judged")
     scratch.free("segments")
     mixed = known.where("not whole")
     kinds = scratch.keep(sg.kinds(mixed), "kinds")
@@ -166,7 +167,7 @@ def repeated_strings(docs: DataFrame, scratch: Scratch, n: int = 400, k: int = 6
     few = span_bytes(docs, ones.where(F.col("texts") <= wide), n)
     out = known.where("whole").select("doc_id", "text_key", "start", "n").unionByName(copied).unionByName(by_suffixes(few, n))
     rest = sg.per_document(ones.where(F.col("texts") > wide), "open")
-    rows = window_rows(docs, rest, sg.byte_units, lambda buf, offs: (OTHER[buf], offs), n, CHUNK)
+    rows = window_rows(docs, rest, sg.byte_units, n, CHUNK)
     twice = rows.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
     out = out.unionByName(rows.join(twice, ["a", "b"]).select("doc_id", "text_key", "start", F.lit(1).alias("n")))
     return scratch.keep(sg.per_document(out, "cut"), "cut", result=True)
