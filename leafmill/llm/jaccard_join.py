@@ -202,7 +202,8 @@ def _compare(threshold: float, tolerance: float):
 
 def dealt(member: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(set_id, block) of sets in buckets (set_id, band, n), and (set_id, others): the other blocks with a set that
-    shares a bucket. A bucket of b sets in d blocks costs b * d rows; in a large one, d is about b / BLOCK_SETS."""
+    shares a bucket. A bucket of b sets costs b rows with a list of its blocks; in a large one these are about
+    b / BLOCK_SETS."""
     home = member.groupBy("set_id").agg(F.max(F.struct("n", "band")).alias("home")).select("set_id", F.col("home.band").alias("home"))
     home = scratch.keep(home.join(sets.select("set_id", "shingles"), "set_id"), "home")
     room = F.greatest(F.count("*") / BLOCK_SETS, F.sum("shingles") / BLOCK_SHINGLES)
@@ -210,9 +211,9 @@ def dealt(member: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFra
     nth = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
     placed = scratch.keep(home.join(blocks, "home").select("set_id", F.xxhash64("home", nth).alias("block")), "placed")
     seen = scratch.keep(member.select("set_id", "band").join(placed, "set_id"), "seen")
-    reached = scratch.keep(seen.select("band", F.col("block").alias("other")).distinct(), "reached")
-    meets = seen.join(reached, "band").where("block != other").select("set_id", "other").distinct()
-    others = scratch.keep(meets.groupBy("set_id").agg(F.collect_list("other").alias("others")), "others")
+    reached = scratch.keep(seen.groupBy("band").agg(F.collect_set("block").alias("reached")), "reached")
+    meets = seen.join(reached, "band").groupBy("set_id", "block").agg(F.array_distinct(F.flatten(F.collect_set("reached"))).alias("all"))
+    others = scratch.keep(meets.select("set_id", F.array_remove("all", F.col("block")).alias("others")), "others")
     scratch.free("home", "blocks", "seen", "reached")
     return placed, others
 
