@@ -104,5 +104,19 @@ SELECT documents.doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, coal
 """
 
 
+# bytes as pairs of hexadecimal digits; a string of 400 bytes is told apart by its digest
+OP7 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, b, substring(h, 2 * b + 1, 1822) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 512)) AS b FROM d WHERE length(h) >= 800)),
+w AS (SELECT doc_id, b + j AS i, md5_number(substring(g, 2 * j + 1, 800)) AS x FROM (SELECT doc_id, b, g, unnest(range(0, least(512, length(g) // 2 - 399))) AS j FROM g)),
+r AS (SELECT doc_id, i FROM w JOIN (SELECT x FROM w GROUP BY x HAVING count(*) > 1) USING (x)),
+s AS (SELECT doc_id, i, lag(i) OVER o AS p, lead(i) OVER o AS q FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, sum(least(400, coalesce(q - i, 400))) AS n, list(i ORDER BY i) FILTER (p IS NULL OR i - p > 400) AS a, list(i + 400 ORDER BY i) FILTER (q IS NULL OR q - i > 400) AS b FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, h, coalesce(n, 0)::BIGINT AS n, coalesce(a, []) AS a, [0] || coalesce(b, []) AS b FROM d LEFT JOIN c USING (doc_id))
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, n AS n_removed, len(a)::BIGINT AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(b) + 1), lambda j: substring(h, 2 * b[j] + 1, 2 * (coalesce(a[j], length(h) // 2) - b[j]))), ''))) AS kept_sha256 FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": OP1, "op5_substring_runs": OP5, "op9_jaccard_bayes": OP9}
+    return {"op1_line_frequency": OP1, "op5_substring_runs": OP5, "op7_suffix_dedup": OP7, "op9_jaccard_bayes": OP9}

@@ -29,6 +29,14 @@ from .substring_runs import window_rows
 CHUNK = 1 << 19
 
 
+def joined(high: np.ndarray, low: np.ndarray, top: int, width: int) -> np.ndarray:
+    """Keys in the order of pairs of numbers, low below width and high below top; the highs are renumbered where they
+    would not fit a word."""
+    if top * width >= 1 << 62:
+        high = np.unique(high, return_inverse=True)[1]
+    return high * width + low
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """The suffixes of positive numbers in order, by the difference cover modulo 3."""
     n = len(s)
@@ -37,13 +45,12 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     x = np.zeros(n + 3, np.int64)
     x[:n] = s
     base = int(x.max()) + 1
-    if base >= 1 << 20:  # names that fit three to a word
-        _, x[:n] = np.unique(x[:n], return_inverse=True)
-        x[:n] += 1
+    if base > 1 << 30:
+        x[:n] = np.unique(x[:n], return_inverse=True)[1] + 1
         base = int(x.max()) + 1
-    ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sample = np.concatenate([ones, twos])
-    key = (x[sample] * base + x[sample + 1]) * base + x[np.minimum(sample + 2, n + 2)]
+    pairs = x[:-1] * base + x[1:]  # below 2 ** 62
+    sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
+    key = joined(pairs[sample], x[np.minimum(sample + 2, n + 2)], base * base, base)
     order = np.argsort(key, kind="stable")
     fresh = np.append(True, key[order][1:] != key[order][:-1])
     names = np.empty(len(sample), np.int64)
@@ -56,10 +63,11 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     span = len(sample) + 2
     zeros = np.arange(0, n, 3)
     pair = lambda i: x[i] * span + rank[i + 1]
-    triple = lambda i: (x[i] * base + x[i + 1]) * span + rank[i + 2]
     zeros = zeros[np.argsort(pair(zeros), kind="stable")]
     first, second = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
-    place = np.arange(len(zeros)) + np.searchsorted(pair(first), pair(zeros)) + np.searchsorted(triple(second), triple(zeros))
+    both = np.concatenate([second, zeros])
+    triple = joined(pairs[both], rank[both + 2], base * base, span)
+    place = np.arange(len(zeros)) + np.searchsorted(pair(first), pair(zeros)) + np.searchsorted(triple[: len(second)], triple[len(second) :])
     out = np.empty(n, np.int64)
     rest = np.ones(n, bool)
     rest[place] = False
