@@ -1,8 +1,9 @@
 """Media columns: lossless WebP.
 
 A text's UTF-8 bytes, padded with zeros to a positive multiple of 64, are stored as grey images 64 samples wide and up
-to 128 high, one after another: each a WebP file of its own whose green code fits its samples. The stored files are
-decoded again, and features are computed from the samples read back. ``pixels`` decodes any column of lossless WebP.
+to 128 high, one after another: each a WebP file of its own with prefix codes that fit it and, where that makes it
+smaller, back-references. The stored files are decoded by the decoder of the whole format, and features are computed from
+the samples read back. ``pixels`` decodes any column of lossless WebP by the same decoder.
 
 Defined results: null text is empty, that is 64 zero bytes; equal texts give equal files; bytes that are no lossless
 WebP give a null image and a message. Repeated rows give equal rows; extra columns are ignored.
@@ -25,7 +26,7 @@ from .common import batch
 
 UNIT, HIGH = 64, 128
 TILE = UNIT * HIGH
-CHUNK = 6 << 20
+CHUNK = 12 << 20
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("media", pa.binary())])
 
 
@@ -90,6 +91,14 @@ def split(media: bytes) -> list[bytes]:
     return out
 
 
+def _parts(media: bytes | None) -> tuple[list[bytes], str | None]:
+    """The files of a stored form, or what is wrong with it."""
+    try:
+        return (split(media), None) if media else ([], "no image")
+    except ValueError as e:
+        return [], str(e)
+
+
 PIXELS = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary())])
 
 
@@ -100,14 +109,13 @@ def pixels(df: DataFrame, column: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             images, errors = [], []
-            for x in b[column].to_pylist():
-                try:
-                    own = [webp.decode(f) for f in split(x)] if x is not None else None
-                    images.append(own and [{"width": a.shape[1], "height": a.shape[0], "rgba": a.tobytes()} for a in own])
-                    errors.append(None if own else "no image")
-                except (ValueError, IndexError) as e:
-                    images.append(None)
-                    errors.append(str(e) or "no image")
+            parts = [_parts(x) for x in b[column].to_pylist()]
+            found = iter(webp.decode_all([f for files, _ in parts for f in files]))
+            for files, wrong in parts:
+                own = [next(found) for _ in files]
+                wrong = next((str(a) for a in own if isinstance(a, ValueError)), wrong)
+                images.append(None if wrong else [{"width": a.shape[1], "height": a.shape[0], "rgba": webp.rgba(a).tobytes()} for a in own])
+                errors.append(wrong)
             yield pa.RecordBatch.from_arrays([*(b[f.name] for f in rest), pa.array(images, pa.list_(PIXELS)), pa.array(errors, pa.string())], [*(f.name for f in rest), "images", "error"])
 
     sql = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "images array<struct<width:int,height:int,rgba:binary>>, error string"])
