@@ -100,6 +100,17 @@ def any_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_three(tables.find_table(wide.unionByName(narrow)))
 
 
+def two_on_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table, a line of text, and a second table with the same lines below it."""
+    first = even_cells(spark, sf_dir, 10, 30.0, ("PartNumber", "SupplierNo", "TotalPrice"))
+    many = order_lines(spark, sf_dir).groupBy(F.col("l_orderkey").cast("string").alias("doc_id")).agg(F.count("*").alias("many"))
+    below = first.join(many, "doc_id")
+    between = below.groupBy("doc_id", "page").agg(F.max("many").alias("many")).select("doc_id", "page", F.lit(100_000).alias("span_seq"), F.lit(50.0).alias("x"), (680.0 - 20 * F.col("many")).alias("y"), F.lit(80.0).alias("end_x"), F.lit(12.0).alias("font_size"), F.lit("F").alias("font"), F.lit("notes").alias("text"))
+    below = below.withColumns({"y": F.col("y") - 20 * (F.col("many") + 2), "span_seq": F.col("span_seq") + 200_000}).drop("many")
+    found = tables.find_tables(first.unionByName(between).unionByName(below))
+    return found.select(key(), F.col("table_no").cast("int").alias("table_no"), (F.col("row_no") + 1).cast("long").alias("n"), *[F.get("cells", F.lit(i)).alias(k) for i, k in enumerate(("part", "supplier", "price"))])
+
+
 def header_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data stands 25 points right of its headers; three rows or more move the columns there."""
     data = body(spark, sf_dir)
@@ -179,6 +190,30 @@ def autotune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_invoice(tables.across_pages(spans_of(paged_texts(spark, sf_dir)), TableOpts(auto_tune=True)))
 
 
+def autotune_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 40 points apart, each continued 14 points below: of the candidates only those that merge what is closer than
+    16 points and do not end a table at 26 give full rows; the others give fewer or emptier ones."""
+    lines = order_lines(spark, sf_dir)
+    data = cell_texts(lines, 700 - 40 * F.col("n"))
+    more = lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(0).alias("page"), (F.col("n") * 10 + 7).cast("int").alias("op_seq"), F.lit(130.0).alias("x"), (686.0 - 40 * F.col("n")).alias("y"), F.concat(F.lit("ref "), F.col("l_returnflag")).alias("text"))
+    spans = spans_of(data.unionByName(more).unionByName(header_texts(data.select("doc_id", "page").distinct())))
+    return as_invoice(tables.across_pages(spans, TableOpts(auto_tune=True)))
+
+
+def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables as lines of text: numbers to the right, as wide as the widest of a column."""
+    found = tables.show(tables.find_table(spans_of(invoice_texts(spark, sf_dir)), HEADERS))
+    return found.select(key(), (F.col("row_no") + 1).cast("long").alias("n"), "line")
+
+
+def _table_lines_sql() -> str:
+    names = ("Part", "Supplier", "Qty", "Price", "Flag")
+    fields = ("part", "supplier", "qty", "price", "flag")
+    size = lambda f, h: f"greatest({len(h)}, max(length({f})) OVER (PARTITION BY l_orderkey))"
+    cells = [f"{'rpad' if f == 'flag' else 'lpad'}({f}, {size(f, h)}::INTEGER, ' ')" for f, h in zip(fields, names, strict=True)]
+    return f"SELECT l_orderkey, n, {" || '  ' || ".join(cells)} AS line FROM ({INVOICE_SQL})"
+
+
 def table_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tables.find_table(sparse(spark, sf_dir), HEADERS)
     return tables.score(found, ["doc_id"]).select(key(), F.round("score", 6).alias("score"))
@@ -227,6 +262,9 @@ QUERIES = {
     "tables_across_pages": (across_pages, INVOICE_SQL),
     "tables_across_pages_auto": (across_pages_auto, INVOICE_SQL),
     "table_autotune": (autotune, INVOICE_SQL),
+    "tables_two_on_page": (two_on_page, three_sql(10).replace("SELECT l_orderkey, n,", "SELECT l_orderkey, t::INTEGER AS table_no, n,").replace(" JOIN (SELECT l_orderkey, count(*) AS many FROM lineitem GROUP BY l_orderkey) USING (l_orderkey) WHERE many >= 2", ", (VALUES (0), (1)) AS twice(t)")),
+    "table_autotune_choice": (autotune_choice, CONTINUED_SQL),
+    "table_lines": (table_lines, _table_lines_sql()),
     "table_score": (table_score, "SELECT l_orderkey, round(ln(1 + count(*)) * pow((count(*) * 4 + count(*) // 2)::DOUBLE / (count(*) * 5), 2), 6)::DOUBLE AS score FROM lineitem GROUP BY l_orderkey"),
     "cell_lookup": (cell_lookup, f"SELECT l_orderkey, qty, '' AS missing, 3 AS price_at, -1 AS none_at FROM ({INVOICE_SQL}) WHERE n = 1"),
     "table_cells": (long_cells, f"SELECT l_orderkey, n, k::INTEGER AS k, t AS text FROM ({FLAT_SQL})"),

@@ -38,6 +38,12 @@ SELECT doc_id, page, line, pos, word, 100000.0 - line * 20 - (i % 5) * 0.2 AS y,
 FROM ({WORDS_SQL}) WINDOW w AS (PARTITION BY doc_id, line ORDER BY pos)) GROUP BY doc_id, page, line"""
 
 
+def unended_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words whose spans do not say where they end: half the size, here six points, a character."""
+    spans = word_spans(spark, sf_dir).withColumn("end_x", F.col("x"))
+    return lines.build_lines(spans).select(F.col("doc_id").cast("long").alias("doc_id"), "page", "line_no", F.round("y", 2).alias("y"), "text")
+
+
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.page_text(lines.build_lines(word_spans(spark, sf_dir))).select(F.col("doc_id").cast("long").alias("doc_id"), "page", "text")
 
@@ -112,10 +118,33 @@ SEARCH_SQL = f"""SELECT doc_id, page::INTEGER AS page, i::INTEGER AS place, k::I
 SELECT doc_id, page, i, pos, unnest(list_transform(range(1, len(p)), lambda n: list_sum(list_transform(p[1:n], lambda t: length(t))) + (n - 1) * 2)) AS k FROM (SELECT doc_id, page, i, pos, string_split(word, 'en') AS p FROM ({WORDS_SQL})) WHERE len(p) > 1)"""
 
 
-def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of a text by document and page; a hit of a line that a span has too counts once."""
-    hits = search.search(word_spans(spark, sf_dir), "en")
-    return hits.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "page").agg(F.count("*").alias("n_hits"))
+def two_spans(spark: SparkSession, sf_dir: str, gap: float) -> DataFrame:
+    """Two pages a part, on each its name and behind it, after a gap, its brand; six points a character."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("page"), "p_name", "p_brand")
+    texts = F.array(F.struct(F.lit(0).alias("k"), F.lit(50.0).alias("x"), F.col("p_name").alias("t")), F.struct(F.lit(1).alias("k"), (50.0 + 6 * F.length("p_name") + gap).alias("x"), F.col("p_brand").alias("t")))
+    flat = part.select("doc_id", "page", F.explode(texts).alias("s"))
+    return flat.select("doc_id", "page", F.col("s.k").alias("span_seq"), "s.x", F.lit(500.0).alias("y"), (F.col("s.x") + 6 * F.length("s.t")).alias("end_x"), F.lit(12.0).alias("font_size"), F.lit("F").alias("font"), F.col("s.t").alias("text"))
+
+
+def hit_rows(hits: DataFrame) -> DataFrame:
+    box = [F.round(f"rect.{k}", 3).alias(k) for k in ("x", "y", "width", "height")]
+    return hits.select(F.col("doc_id").cast("long").alias("p_partkey"), "page", "hit_no", *box)
+
+
+def search_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text that begins in the gap between two spans is in the line alone."""
+    return hit_rows(search.search(two_spans(spark, sf_dir, 3.0), " Brand"))
+
+
+def search_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a span and its line both have counts once, and is numbered through the document."""
+    hits = search.document_order(search.search(two_spans(spark, sf_dir, 0.0), "Brand"))
+    return hit_rows(hits).join(hits.select(F.col("doc_id").cast("long").alias("p_partkey"), "page", "hit_no", F.col("doc_hit_no").cast("int").alias("doc_hit_no")), ["p_partkey", "page", "hit_no"])
+
+
+def across_sql(extra: str = "") -> str:
+    gap = 0 if extra else 3
+    return f"SELECT p_partkey, page, 0 AS hit_no, (50.0 + 6 * length(p_name) + {gap})::DOUBLE AS x, (500 - 12 * 0.2)::DOUBLE AS y, {30.0 if extra else 36.0}::DOUBLE AS width, 14.4::DOUBLE AS height{extra} FROM part, (VALUES (0), (1)) AS p(page)"
 
 
 
@@ -131,5 +160,7 @@ QUERIES = {
     "label_values": (labels, LABELS_SQL),
     "glyph_to_text": (glyphs, GLYPHS_SQL),
     "search_spans": (search_spans, SEARCH_SQL),
-    "search_pages": (search_pages, ""),
+    "search_across_spans": (search_across, across_sql()),
+    "search_document_order": (search_once, across_sql(", page AS doc_hit_no")),
+    "span_end_estimate": (unended_lines, f"SELECT doc_id, page::INTEGER AS page, (line % {LINES})::INTEGER AS line_no, round(y, 2)::DOUBLE AS y, text FROM ({LINE_SQL})"),
 }

@@ -13,7 +13,7 @@ def read_glyph_list(spark: SparkSession, path: str) -> DataFrame:
     line = F.trim(F.regexp_replace("value", "#.*", ""))
     parts = F.split(line, ";")
     codes = F.filter(F.split(F.trim(F.get(parts, F.lit(1))), "[ ,]+"), lambda c: c.rlike("^[0-9A-Fa-f]{4,6}$"))
-    text = F.array_join(F.transform(codes, lambda c: F.decode(F.unhex(F.lpad(c, 8, "0")), "UTF-32BE")), "")
+    text = F.array_join(F.transform(codes, lambda c: F.decode(F.unhex(F.lpad(c, 8, "0")), "UTF-32")), "")
     return spark.read.text(path).where(line.contains(";")).select(F.trim(F.get(parts, F.lit(0))).alias("name"), text.alias("text")).where("name != '' AND text != ''").groupBy("name").agg(F.min("text").alias("text"))
 
 
