@@ -157,8 +157,9 @@ def find_tables(spans: DataFrame, opts: TableOpts | None = None) -> DataFrame:
     opts = opts or TableOpts()
     if opts.headers:
         return by_headers(spans, opts)
-    found = by_gaps(spans, opts)
-    return found.unionByName(by_anchors(spans, opts).join(found.select(*KEYS).distinct(), KEYS, "left_anti"))
+    either = by_gaps(spans, opts).withColumn("way", F.lit(0)).unionByName(by_anchors(spans, opts).withColumn("way", F.lit(1)))
+    first = F.min("way").over(Window.partitionBy(*KEYS))  # anchors count where the page has no table by gaps
+    return either.withColumn("first", first).where("way = first").drop("way", "first")
 
 
 def find_table(spans: DataFrame, opts: TableOpts | None = None) -> DataFrame:
