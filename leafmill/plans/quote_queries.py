@@ -92,7 +92,19 @@ def whole_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("l_orderkey"), F.array_join("headers", "|").alias("headers"), F.size("line_items").cast("long").alias("n_items"))
 
 
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.report(quotes.extract_quotes(quotation_spans(spark, sf_dir)))
+    return found.select(F.col("doc_id").cast("long").alias("l_orderkey"), "report")
+
+
+REPORT_SQL = f"""WITH f AS ({FIELDS_SQL}), i AS ({ITEMS_SQL}), g AS ({CATEGORY_SQL}), c AS ({CODES_SQL}),
+lines AS (SELECT l_orderkey, string_agg(concat_ws(' | ', quantity, product_code, supplier_code, description, category), chr(10) ORDER BY item_no) AS items FROM i JOIN g USING (l_orderkey, item_no) GROUP BY l_orderkey),
+codes AS (SELECT l_orderkey, string_agg(code, ', ' ORDER BY code_no) AS codes FROM c GROUP BY l_orderkey)
+SELECT l_orderkey, concat_ws(chr(10), 'Company: ' || company, 'Quote Name: ' || quote_name, 'Quotation Ref: ' || quotation_ref, 'Issue Date: ' || issue_date, 'Quote Expiry: ' || quote_expiry, 'Estimator: ' || estimator, 'Contact Name: ' || contact_name, 'Supplier Codes: ' || codes, items) AS report
+FROM f JOIN lines ON o_orderkey = l_orderkey JOIN codes USING (l_orderkey)"""
+
 QUERIES = {
+    "quote_report": (reports, REPORT_SQL),
     "quote_header_fields": (header_fields, FIELDS_SQL),
     "quote_line_items": (line_items, ITEMS_SQL),
     "quote_category_fill": (categories, CATEGORY_SQL),
