@@ -3,8 +3,9 @@
 Repeated byte strings of ``n`` bytes are found in two steps. Segments (see segments) settle all windows whose name is
 unique or whose segments are all one text. The rest goes, one text of each kind, to tasks by name, where suffixes are
 sorted by the difference cover modulo 3: triples at the sampled places are sorted and named, the names are sorted by
-recursion, the remaining suffixes are merged in, and adjacent prefixes of n bytes are compared. A name with more than
-``wide`` different texts does not go to one task: its windows are dealt by two 64-bit hashes instead.
+recursion, the remaining suffixes are merged in, and adjacent prefixes of n bytes are compared. A task sorts ``wide``
+different texts of one name at most, which bounds its memory; the windows of names with more are dealt by two 64-bit
+hashes, which finds the same.
 
 Defined results: null text is empty; matches never cross rows; repeated rows repeat each other; a null doc_id is a
 value like any other; a text shorter than n keeps all its bytes. Extra columns are ignored.
@@ -169,14 +170,14 @@ def repeated_strings(docs: DataFrame, scratch: Scratch, n: int = 400, k: int = 6
     scratch.free("segments")
     mixed = known.where("not whole")
     kinds = scratch.keep(sg.kinds(mixed), "kinds")
-    many = kinds.groupBy("fp").agg(F.count("*").alias("texts"))
+    many = scratch.keep(kinds.groupBy("fp").agg(F.count("*").alias("texts")), "many")
     copied = sg.copied(mixed, kinds)
     ones = kinds.join(many, "fp").select("fp", "texts", "one.*")
     few = span_bytes(docs, ones.where(F.col("texts") <= wide), n)
     out = known.where("whole").select("doc_id", "text_key", "start", "n").unionByName(copied).unionByName(by_suffixes(few, n))
     rest = sg.per_document(ones.where(F.col("texts") > wide), "open")
-    rows = window_rows(docs, rest, sg.byte_units, n, CHUNK)
-    twice = rows.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
+    rows = scratch.keep(window_rows(docs, rest, sg.byte_units, n, CHUNK), "windows")
+    twice = scratch.keep(rows.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b"), "twice")
     out = out.unionByName(rows.join(twice, ["a", "b"]).select("doc_id", "text_key", "start", F.lit(1).alias("n")))
     return scratch.keep(sg.per_document(out, "cut"), "cut", result=True)
 
