@@ -405,7 +405,8 @@ class Lanes:
         if self.grouped:
             maps = [np.array(x.groups or [0]) for x in images]
             self.map, self.map_off = np.concatenate(maps), np.cumsum([0, *(len(m) for m in maps)])[:-1]
-            self.block, self.across = np.array([x.block for x in images]), np.array([x.across for x in images])
+            self.block = np.array([x.block if x.groups else 31 for x in images])  # without groups all pixels are in one block
+            self.across = np.array([x.across for x in images])
         self.cached = any(x.cache_bits for x in images)
         if self.cached:
             room = np.array([1 << x.cache_bits for x in images])

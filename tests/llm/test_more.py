@@ -285,3 +285,33 @@ def test_pipeline_on_odd_tables(spark, odd, tmp_path):
             assert now.count() == 0
         else:
             assert {None, 1, 2, 3, 4, 5} <= {r["doc_id"] for r in now.select("doc_id").distinct().collect()} | {6}
+
+
+def test_code_groups():
+    """An image whose blocks take turns between two groups of codes, beside one without groups."""
+    rng = np.random.default_rng(8)
+    groups = [0, 1, 1, 0, 1, 0]  # three blocks of four pixels across, two down
+    w = webp.Writer()
+    webp.put_header(w, 10, 8, False)
+    for value, n in ((0, 1), (0, 1), (1, 1), (0, 3)):  # no transform, no cache, groups, blocks of four pixels
+        w.put(value, n)
+    webp.put_pixels(w, [webp.BLACK | g << 8 for g in groups], 3, False)
+    for first in (10, 30):
+        webp.put_code(w, [int(s in (first, first + 10)) for s in range(webp.GREEN)])
+        for only in (first + 1, first + 2, 255):
+            webp.put_code(w, [int(s == only) for s in range(webp.OTHER)])
+        webp.put_code(w, [0] * webp.DISTANCE)
+    want = []
+    for y in range(8):
+        for x in range(10):
+            first, bit = (10, 30)[groups[(y >> 2) * 3 + (x >> 2)]], int(rng.integers(0, 2))
+            w.put(bit, 1)
+            want.append((first + 1, first + 10 * bit, first + 2, 255))
+    other = picture_of(9)
+    got = webp.decode_all([webp.encode(other, cache_bits=2), webp.wrapped(w.bytes())])
+    assert (webp.rgba(got[0]) == other).all() and [tuple(p) for p in webp.rgba(got[1]).reshape(-1, 4).tolist()] == want
+
+
+def picture_of(seed):
+    rng = np.random.default_rng(seed)
+    return np.kron(rng.integers(0, 256, (3, 4, 4)), np.ones((4, 5, 1))).astype(np.uint8)
