@@ -221,11 +221,13 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, n: int = 35, k: int = 8,
     """(doc_id, text_key, cut): for each document with repeated windows, the places where they start. The documents go
     through an index in batches; names that repeat come from its joins at each arrival."""
     index = FingerprintIndex(docs.sparkSession, scratch.path("index"), n, k)
-    for i in range(batches):
-        mine = docs.where(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(batches)) == i) if batches > 1 else docs
-        index.ingest(sg.find(mine, sg.word_units, n, k, CHUNK))
-    out = scratch.keep(settled(docs, index.all_segments(), index.all_hits(), scratch, n), "cut", result=True)
-    index.close()
+    try:
+        for i in range(batches):
+            mine = docs.where(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(batches)) == i) if batches > 1 else docs
+            index.ingest(sg.find(mine, sg.word_units, n, k, CHUNK))
+        out = scratch.keep(settled(docs, index.all_segments(), index.all_hits(), scratch, n), "cut", result=True)
+    finally:
+        index.close()
     scratch.free()
     return out
 
