@@ -23,6 +23,12 @@ def _documents(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], schema=DOCUMENT)
 
 
+def sent(docs: DataFrame) -> DataFrame:
+    """(doc_id, content) for a join by doc_id that deals documents out: what their size is estimated at comes from the rows
+    they are made of, so that Spark would take large contents for a small table and broadcast them."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content").hint("merge")
+
+
 def create_pdf(ops: DataFrame, stamp: str = STAMP) -> DataFrame:
     """(doc_id, content) of drawing operations (doc_id, page, op_seq, op, args, text, width, height); pages are as wide
     and high as their first operation says, 612 by 792 where it does not."""
@@ -60,7 +66,7 @@ def merge_documents(docs: DataFrame, selections: DataFrame, opts: MergeOptions |
     opts = opts or MergeOptions()
     own = selections.select(F.col("merge_id").cast("string").alias("merge_id"), "src_no", F.col("doc_id").cast("string").alias("doc_id"), "pages")
     own = own.groupBy("merge_id", "doc_id").agg(F.collect_list(F.struct("src_no", "pages")).alias("chosen"))
-    own = own.join(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content"), "doc_id", "left")
+    own = own.join(sent(docs), "doc_id", "left")
     each = own.groupBy("merge_id").agg(F.collect_list(F.struct("doc_id", "chosen", "content")).alias("sources"))
     schema = pa.schema([("merge_id", pa.string()), ("data", pa.binary()), ("total_pages", pa.int32()), ("included_pages", pa.int32()), ("oversize", pa.bool_()), ("size", pa.int64()), ("max_size", pa.int64()), ("error", pa.string())])
 
@@ -128,7 +134,7 @@ def stamp_places(pages: DataFrame, width: int, height: int, rotation: float = 45
 def apply_edits(docs: DataFrame, edits: DataFrame, stamp: str = STAMP) -> DataFrame:
     """(doc_id, content) of documents with their edits drawn over the pages; documents without edits are left out."""
     each = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("kind", "page", "edit_seq", "args", "text"))).alias("edits"), F.array_sort(F.collect_list(F.when(F.col("image").isNotNull(), F.struct("page", "edit_seq", "image")))).alias("images"))
-    own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content").join(each, "doc_id")
+    own = sent(docs).join(each, "doc_id")
 
     def one(data: bytes, edits: list[dict], images: list[dict]) -> bytes:
         known: dict[Image, Image] = {}
@@ -154,5 +160,5 @@ def apply_edits(docs: DataFrame, edits: DataFrame, stamp: str = STAMP) -> DataFr
 def overlay(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """As apply_edits, with documents without edits as they are."""
     done = apply_edits(docs, edits)
-    rest = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content").join(edits.select("doc_id").distinct(), "doc_id", "left_anti")
+    rest = sent(docs).join(edits.select("doc_id").distinct(), "doc_id", "left_anti")
     return done.unionByName(rest)
