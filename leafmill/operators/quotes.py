@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import after_label, between_labels, is_note, is_number, smart_append, trim
 from .lines import build_lines
+from .spread import spread
 
 # The texts that quotations are known by.
 COMPLETE = ("quantity", "product code", "suppliers code", "product description", "unit price", "total price", "list price", "cost price", "selling price")
@@ -44,10 +45,15 @@ def header_fields(lines: DataFrame) -> DataFrame:
 def table_headers(spans: DataFrame) -> DataFrame:
     """(doc_id, page, header_y, names, qty_x, prod_x, supp_x, desc_x, prices): pages with a row that holds Quantity and
     Suppliers (Code); single words close below end the header to their left that is not complete yet."""
-    s = spans.withColumn("text", trim(F.col("text")))
+    return whole_pages(spans).where("header_y is not null").drop("s")
+
+
+def whole_pages(spans: DataFrame) -> DataFrame:
+    """table_headers and s, the spans of a page in order; of pages without such a row too, with nulls. Dealt by document."""
+    s = spread(spans.select("doc_id", "page", "span_seq", "x", "y", trim(F.col("text")).alias("text")), "doc_id")
     page = s.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("span_seq", "x", "y", "text"))).alias("s"))
     anchor = F.filter("s", lambda a: a["text"].isin("Suppliers Code", "Suppliers") & F.exists("s", lambda b: (F.abs(b["y"] - a["y"]) <= Y_TOLERANCE) & (b["text"] == "Quantity")))
-    page = page.withColumn("top", F.get(anchor, F.lit(0))["y"]).where("top is not null")
+    page = page.withColumn("top", F.get(anchor, F.lit(0))["y"])
     heads = F.array_sort(F.transform(F.filter("s", lambda a: (F.abs(a["y"] - F.col("top")) <= Y_TOLERANCE) & (a["text"] != "")), lambda a: F.struct(a["x"].alias("x"), a["span_seq"].alias("span_seq"), a["text"].alias("text"))))
     page = page.withColumn("heads", F.explode(F.array(heads)))
     open_head = lambda h: ~F.lower(h["text"]).isin(*COMPLETE)
@@ -65,7 +71,8 @@ def table_headers(spans: DataFrame) -> DataFrame:
     kind = lambda h: F.when(low(h) == "quantity", "qty").when(low(h).startswith("product c"), "prod").when(low(h).startswith("supplier"), "supp").when(low(h).startswith("product d"), "desc").when(low(h).contains("price") | low(h).contains("cost"), "price").otherwise("")
     last = lambda k: F.coalesce(F.try_element_at(F.filter("named", lambda h: kind(h) == k), F.lit(-1))["x"], F.lit(0.0)).alias(f"{k}_x")
     prices = F.transform(F.filter("named", lambda h: kind(h) == "price"), lambda h: F.struct(h["text"].alias("name"), h["x"].alias("x")))
-    return page.select("doc_id", "page", F.when(unfinished, lowest).otherwise(F.col("top")).alias("header_y"), F.transform("named", lambda h: h["text"]).alias("names"), last("qty"), last("prod"), last("supp"), last("desc"), prices.alias("prices"))
+    found = {"header_y": F.when(unfinished, lowest).otherwise(F.col("top")), "names": F.transform("named", lambda h: h["text"]), **{f"{k}_x": last(k) for k in ("qty", "prod", "supp", "desc")}, "prices": prices}
+    return page.select("doc_id", "page", *[F.when(F.col("top").isNotNull(), v).alias(k) for k, v in found.items()], "s")
 
 
 def column_of(x: Column) -> Column:
@@ -80,13 +87,12 @@ def column_of(x: Column) -> Column:
 def table_rows(spans: DataFrame) -> DataFrame:
     """(doc_id, page, row_no, qty, prod, supp, desc, prices, label): rows below the header of each page, or of a page
     without one by the columns of the last page that has one, up to a footer; pages after a footer wait for a header."""
-    heads = table_headers(spans)
-    pages = spans.select("doc_id", "page").distinct()
     w = Window.partitionBy("doc_id").orderBy("page")
-    every = pages.join(heads, ["doc_id", "page"], "left")
+    every = whole_pages(spans)
     carried = [F.last(c, ignorenulls=True).over(w).alias(c) for c in ("qty_x", "prod_x", "supp_x", "desc_x", "prices")]
-    every = every.select("doc_id", "page", F.col("header_y"), F.col("header_y").isNotNull().alias("headed"), *carried).where("qty_x is not null")
-    own = spans.withColumn("text", trim(F.col("text"))).join(every, ["doc_id", "page"]).where(F.col("header_y").isNull() | (F.col("y") < F.col("header_y") - Y_TOLERANCE))
+    every = every.select("doc_id", "page", F.col("header_y"), F.col("header_y").isNotNull().alias("headed"), *carried, "s").where("qty_x is not null")
+    below = F.filter("s", lambda e: F.col("header_y").isNull() | (e["y"] < F.col("header_y") - Y_TOLERANCE))
+    own = every.select("doc_id", "page", "headed", "qty_x", "prod_x", "supp_x", "desc_x", "prices", F.inline(below))
     footer = F.lit(False)
     for t in FOOTERS:
         footer |= F.col("text").startswith(t)
@@ -103,13 +109,10 @@ def table_rows(spans: DataFrame) -> DataFrame:
     row = flat.groupBy(*keys, "row_y").agg(F.first("headed").alias("headed"), F.bool_or("footer").alias("footer"), F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("x", "span_seq", "col", "text")))).alias("cells"))
     down = Window.partitionBy(*keys).orderBy(F.desc("row_y"))
     row = row.withColumns({"ended": F.max(F.col("footer").cast("int")).over(down), "page_ended": F.max(F.col("footer").cast("int")).over(Window.partitionBy(*keys)), "row_no": F.row_number().over(down) - 1})
-    ends = row.groupBy(*keys).agg(F.max("page_ended").alias("page_ended"), F.first("headed").alias("headed"))
-    # a page without a header counts only if no footer stands since the last header
-    since = F.sum(F.col("headed").cast("int")).over(w)
-    ends = ends.withColumn("span", since)
-    closed = F.coalesce(F.max("page_ended").over(Window.partitionBy("doc_id", "span").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = ends.withColumn("closed", closed).where("headed or closed = 0").select(*keys)
-    row = row.where("ended = 0").join(ends, keys, "left_semi")
+    # a page without a header counts only if no footer stands since the last header; row 0 speaks for its page
+    row = row.withColumn("since", F.sum((F.col("headed") & (F.col("row_no") == 0)).cast("int")).over(w))
+    earlier = Window.partitionBy("doc_id", "since").orderBy("page").rangeBetween(Window.unboundedPreceding, -1)
+    row = row.withColumn("closed", F.coalesce(F.max("page_ended").over(earlier), F.lit(0))).where("(headed or closed = 0) and ended = 0")
     part = lambda k: F.array_join(F.transform(F.filter("cells", lambda c: c["col"] == k), lambda c: c["text"]), " ").alias(k)
     others = F.filter("cells", lambda c: ~c["col"].isin("qty", "prod", "supp", "desc"))
     names = F.array_distinct(F.transform(others, lambda c: c["col"]))
@@ -137,9 +140,14 @@ def line_items(spans: DataFrame) -> DataFrame:
     return each.select("doc_id", (F.col("item_no") - 1).alias("item_no"), "quantity", fold("prod").alias("product_code"), fold("supp").alias("supplier_code"), desc.alias("description"), "prices", "category")
 
 
+def is_code(text: Column) -> Column:
+    """Hyphens and notes are no codes."""
+    return (text != "") & (text != "-") & ~is_note(text)
+
+
 def supplier_codes(items: DataFrame) -> DataFrame:
     """(doc_id, code_no, code): the codes of a document's items in order, each once; hyphens and notes are none."""
-    real = items.where((F.col("supplier_code") != "") & (F.col("supplier_code") != "-") & ~is_note(F.col("supplier_code")))
+    real = items.where(is_code(F.col("supplier_code")))
     first = real.groupBy("doc_id", F.col("supplier_code").alias("code")).agg(F.min("item_no").alias("at"))
     return first.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).alias("code_no"), "code")
 
@@ -148,11 +156,11 @@ def extract_quotes(spans: DataFrame) -> DataFrame:
     """(doc_id, fields, headers, supplier_codes, line_items): a quotation a row."""
     fields = header_fields(build_lines(spans))
     items = line_items(spans)
-    codes = supplier_codes(items).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("code_no", "code"))), lambda c: c["code"]).alias("supplier_codes"))
     heads = table_headers(spans).groupBy("doc_id").agg(F.min_by("names", "page").alias("headers"))
     each = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_no", "quantity", "product_code", "supplier_code", "description", "category"))).alias("line_items"))
+    each = each.withColumn("supplier_codes", F.array_distinct(F.filter(F.transform("line_items", lambda i: i["supplier_code"]), is_code)))
     empty = F.array().cast("array<string>")
-    out = fields.join(heads, "doc_id", "left").join(codes, "doc_id", "left").join(each, "doc_id", "left")
+    out = fields.join(heads, "doc_id", "left").join(each, "doc_id", "left")
     return out.withColumns({"headers": F.coalesce("headers", empty), "supplier_codes": F.coalesce("supplier_codes", empty)})
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import quotes, sinks
 from ..operators.lines import build_lines
@@ -14,40 +15,41 @@ HEAD = (("Quantity", 50.0), ("Product Code", 120.0), ("Suppliers", 220.0), ("Pro
 PER_PAGE = 8
 
 
-def _texts(rows: DataFrame, seq: int, **columns) -> DataFrame:
-    return rows.select("doc_id", F.coalesce(columns.get("page", F.lit(0)), F.lit(0)).cast("int").alias("page"), (columns["n"] * 100 + seq).cast("int").alias("op_seq"), F.lit(columns["x"]).cast("double").alias("x"), columns["y"].cast("double").alias("y"), columns["text"].alias("text"))
+def _text(n: Column | int, seq: int, x: float, y: Column | int, text: Column | str) -> Column:
+    """(op_seq, x, y, text) of a text of line n, or of none at 0."""
+    of = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct((of(n) * 100 + seq).cast("int").alias("op_seq"), F.lit(float(x)).alias("x"), of(y).cast("double").alias("y"), of(text).alias("text"))
 
 
 def quotation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order a quotation: labels on the first page; a table whose second header word is wrapped; a category before
-    every third line; a code that goes on below its line; eight lines a page, headers on each; a footer."""
-    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey")
+    every third line; a code that goes on below its line; eight lines a page, headers on each; a footer. Texts of lines
+    come out of one pass over them."""
+    keys = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    orders = table(spark, sf_dir, "orders").join(keys, "o_orderkey", "left_semi")
     orders = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("doc_id", F.col("o_orderkey").cast("string"))
-    zero = F.lit(0)
-    top = [
-        _texts(orders, 1, n=zero, x=50, y=F.lit(780), text=F.concat(F.lit("Company: "), F.col("c_name"), F.lit(" Estimator: A "), F.col("c_mktsegment"))),
-        _texts(orders, 2, n=zero, x=50, y=F.lit(765), text=F.concat(F.lit("Quote Name: Order "), F.col("doc_id"))),
-        _texts(orders, 3, n=zero, x=50, y=F.lit(750), text=F.lit("Quotation Ref:")),
-        _texts(orders, 4, n=zero, x=50, y=F.lit(735), text=F.concat(F.lit("REF-"), F.col("doc_id"))),
-        _texts(orders, 5, n=zero, x=50, y=F.lit(720), text=F.concat(F.lit("Quote Expiry: Quote is valid until "), F.date_format("o_orderdate", "dd/MM/yyyy"))),
-    ]
-    lines = order_lines(spark, sf_dir).withColumn("doc_id", F.col("l_orderkey").cast("string"))
-    page, row = F.floor((F.col("n") - 1) / PER_PAGE), (F.col("n") - 1) % PER_PAGE
+    top = F.array(
+        _text(0, 1, 50, 780, F.concat(F.lit("Company: "), F.col("c_name"), F.lit(" Estimator: A "), F.col("c_mktsegment"))),
+        _text(0, 2, 50, 765, F.concat(F.lit("Quote Name: Order "), F.col("doc_id"))),
+        _text(0, 3, 50, 750, "Quotation Ref:"),
+        _text(0, 4, 50, 735, F.concat(F.lit("REF-"), F.col("doc_id"))),
+        _text(0, 5, 50, 720, F.concat(F.lit("Quote Expiry: Quote is valid until "), F.date_format("o_orderdate", "dd/MM/yyyy"))),
+    )
+    n = F.col("n")
+    page, row = F.floor((n - 1) / PER_PAGE), (n - 1) % PER_PAGE
     y = 640 - 60 * row
-    cells = {"50": F.col("l_quantity").cast("int").cast("string"), "120": F.concat(F.lit("P-"), F.col("l_partkey").cast("string")), "220": F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("-")), "320": F.concat(F.lit("item "), F.col("l_returnflag")), "480": F.format_string("%.2f", "l_extendedprice")}
-    body = [_texts(lines, 10 + i, n=F.col("n"), page=page, x=int(x), y=y, text=t) for i, (x, t) in enumerate(cells.items())]
-    body.append(_texts(lines, 20, n=F.col("n"), page=page, x=220, y=y - 20, text=F.concat(F.lit("X"), F.col("l_linestatus"))))
-    body.append(_texts(lines.where("n % 3 = 1"), 5, n=F.col("n"), page=page, x=320, y=y + 20, text=F.concat(F.lit("CATEGORY "), F.col("l_linestatus"), F.lit(" "), F.col("n").cast("string"))))
-    heads = lines.select("doc_id", page.alias("p")).distinct()
-    head = [_texts(heads, i, n=zero, page=F.col("p"), x=x, y=F.lit(690), text=F.lit(t)) for i, (t, x) in enumerate(HEAD)]
-    head.append(_texts(heads, 6, n=zero, page=F.col("p"), x=222.0, y=F.lit(678), text=F.lit("Code")))
-    head = [t.withColumn("op_seq", F.col("op_seq") + 50) for t in head]
-    last = lines.groupBy("doc_id").agg(F.max(page).alias("p"))
-    foot = [_texts(last, 90, n=F.lit(99), page=F.col("p"), x=50, y=F.lit(60), text=F.lit("Total: see above")), _texts(last, 91, n=F.lit(99), page=F.col("p"), x=120, y=F.lit(40), text=F.lit("P-after the footer"))]
-    out = top[0]
-    for t in [*top[1:], *body, *head, *foot]:
-        out = out.unionByName(t)
-    return out
+    many = F.count("*").over(Window.partitionBy("l_orderkey"))
+    lines = order_lines(spark, sf_dir).withColumn("many", many)
+    cells = {50: F.col("l_quantity").cast("int").cast("string"), 120: F.concat(F.lit("P-"), F.col("l_partkey").cast("string")), 220: F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("-")), 320: F.concat(F.lit("item "), F.col("l_returnflag")), 480: F.format_string("%.2f", "l_extendedprice")}
+    body = [_text(n, 10 + i, x, y, t) for i, (x, t) in enumerate(cells.items())]
+    body.append(_text(n, 20, 220, y - 20, F.concat(F.lit("X"), F.col("l_linestatus"))))
+    category = F.array(_text(n, 5, 320, y + 20, F.concat(F.lit("CATEGORY "), F.col("l_linestatus"), F.lit(" "), n.cast("string"))))
+    head = F.array(*[_text(0, 50 + i, x, 690, t) for i, (t, x) in enumerate(HEAD)], _text(0, 56, 222, 678, "Code"))
+    foot = F.array(_text(99, 90, 50, 60, "Total: see above"), _text(99, 91, 120, 40, "P-after the footer"))
+    none = F.slice(foot, 1, 0)
+    every = F.concat(F.array(*body), *[F.when(when, part).otherwise(none) for when, part in ((n % 3 == 1, category), (row == 0, head), (n == F.col("many"), foot))])
+    own = lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), page.cast("int").alias("page"), F.inline(every))
+    return own.unionByName(orders.select("doc_id", F.lit(0).alias("page"), F.inline(top)))
 
 
 def quotation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
