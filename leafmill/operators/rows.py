@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import leader_clusters, nearest, spaced, span_end
-from ..functions.text import is_all_numeric, is_header_text, trim
+from ..functions.text import is_all_numeric, trim
 from ..options import ANCHOR_CLUSTER, COLUMN_SPACING, TableOpts
 from .spread import spread
 
@@ -31,11 +31,6 @@ def sheets(spans: DataFrame, y_tol: float = 2.0) -> DataFrame:
     return page.select(*PAGE, F.transform("r", lambda r, i: F.struct(F.col("page").alias("page"), i.alias("row_no"), (-r["down"]).alias("y"), r["spans"].alias("spans"))).alias("rows"))
 
 
-def document_sheets(pages: DataFrame) -> DataFrame:
-    """Sheets of whole documents, pages in order."""
-    return pages.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "rows"))), lambda p: p["rows"])).alias("rows"))
-
-
 def group_rows(spans: DataFrame, y_tol: float = 2.0) -> DataFrame:
     """(doc_id, page, row_no, y, pos, x, end_x, text), a span each."""
     row = sheets(spans, y_tol).select(*PAGE, F.explode("rows").alias("r"))
@@ -84,11 +79,6 @@ def column_gaps(spans: DataFrame, over: float = 10.0, y_tol: float = 2.0) -> Dat
     return sheets(spans, y_tol).select(*PAGE, F.explode(gaps(F.col("rows"), over)).alias("g")).select(*PAGE, "g.row_no", F.col("g.v").alias("mid"))
 
 
-def header_like(spans: Column) -> Column:
-    """A row's short texts that are no numbers, well apart: what its columns would be."""
-    return spaced(F.filter(spans, lambda s: is_header_text(s["text"])), COLUMN_SPACING)
-
-
 def zones(columns: Column, anchors: Column) -> Column:
     """Each anchor named by the first column in its zone, which ends half way to the next anchors; anchors without a
     name are left out."""
@@ -153,11 +143,14 @@ def merge_by_anchor(cells: DataFrame, name: str, keys: tuple[str, ...]) -> DataF
     return joined.select(*keys, "row_no", "y", "columns", F.transform("columns", lambda c, i: text(i)).alias("cells"))
 
 
-def data_rows(rows: DataFrame, opts: TableOpts, keys: tuple[str, ...], merge_gap: Column | None = None, max_gap: Column | None = None) -> DataFrame:
+def data_rows(rows: DataFrame, opts: TableOpts, keys: tuple[str, ...]) -> DataFrame:
     """(keys, row_no, y, columns, cells): merge, cut, cells, filters and the anchor merge, in this order."""
-    gap, cut = (F.lit(float(v)) if c is None else c for v, c in ((opts.merge_gap, merge_gap), (opts.max_row_gap, max_gap)))
-    out = cut_after_gap(merge_close(rows, gap, keys), cut, keys)
-    out = out.select(*keys, "row_no", "y", "columns", in_cells(F.col("columns"), F.col("spans")).alias("cells"))
+    out = cut_after_gap(merge_close(rows, F.lit(float(opts.merge_gap)), keys), F.lit(float(opts.max_row_gap)), keys)
+    return filtered(out.select(*keys, "row_no", "y", "columns", in_cells(F.col("columns"), F.col("spans")).alias("cells")), opts, keys)
+
+
+def filtered(out: DataFrame, opts: TableOpts, keys: tuple[str, ...]) -> DataFrame:
+    """Rows of cells after the filters and the anchor merge."""
     if opts.row_filter is not None:
         out = out.where(opts.row_filter)
     out = out.where(F.exists("cells", lambda c: c != ""))

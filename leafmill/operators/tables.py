@@ -5,15 +5,18 @@ A found table is (doc_id, page, table_no, row_no, y, columns, cells), a row each
 
 from __future__ import annotations
 
-from dataclasses import replace
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import is_header_text
-from ..options import ANCHOR_CLUSTER, ANCHOR_SHARE, GAP_CLUSTER, MAX_ANCHORS, SAME_HEADER, TUNE_MERGE_GAPS, TUNE_ROW_GAPS, WRAP_REACH, TableOpts
-from .rows import PAGE, column_at, data_rows, document_sheets, gaps, header_like, remapped, sheets, starts, well_kept, with_clusters, zones
+from ..functions.text import trim
+from ..options import SAME_HEADER, WRAP_REACH, TableOpts
+from .batches import Limits, Sheets, across, found, whole
+from .rows import PAGE, column_at, data_rows, filtered, remapped, sheets
+from .spread import spread
 
 KEYS = list(PAGE)
 COLUMNS = "array<struct<name:string,x:double>>"
@@ -94,72 +97,64 @@ def exploded(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, "columns", F.explode("data").alias("r")).select(*keep, "columns", "r.row_no", "r.y", "r.spans")
 
 
-def numbered(found: DataFrame, keys: tuple[str, ...], table_no: Column | None = None) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("row_no")
-    return found.select(*KEYS, (F.lit(0) if table_no is None else table_no).alias("table_no"), (F.row_number().over(w) - 1).alias("row_no"), "y", "columns", "cells")
+def numbered(rows: DataFrame) -> DataFrame:
+    w = Window.partitionBy(*KEYS).orderBy("row_no")
+    return rows.select(*KEYS, F.lit(0).alias("table_no"), (F.row_number().over(w) - 1).alias("row_no"), "y", "columns", "cells")
 
 
 def by_headers(spans: DataFrame, opts: TableOpts) -> DataFrame:
     """Tables under the first header of each page."""
     place = with_data(with_header(sheets(spans, opts.y_tol), lowered(opts.headers)), opts)
-    return numbered(data_rows(exploded(remapped(place, F.col("data")), *KEYS), opts, PAGE), PAGE)
+    return numbered(data_rows(exploded(remapped(place, F.col("data")), *KEYS), opts, PAGE))
 
 
 def lowered(texts: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(t.lower()) for t in texts]) if texts else F.array().cast("array<string>")
 
 
+def in_batches(spans: DataFrame, keys: tuple[str, ...], opts: TableOpts, make: Callable[[Sheets], pa.Table], schema: str) -> DataFrame:
+    """What the kernels of ``batches`` make of whole pages or documents, dealt by keys: one exchange and one sort."""
+    at = lambda c: F.ascii(c).between(33, 126)
+    trimmed = F.when(at(F.col("text")) & at(F.substring("text", -1, 1)), F.col("text")).otherwise(trim(F.col("text")))
+    real = spans.withColumn("text", trimmed).where(F.col("text") != "").withColumn("low", F.lower("text"))
+    real = real.select(*PAGE, "span_seq", "x", "y", "end_x", "font_size", "text", F.when(F.col("low") != F.col("text"), F.col("low")).alias("low"))
+    kinds = dict(real.dtypes)
+    y_tol = opts.y_tol
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole(batches, keys):
+            yield from make(Sheets(t, y_tol)).to_batches()
+
+    return spread(real, *keys).sortWithinPartitions(*PAGE, "span_seq").mapInArrow(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, {schema}")
+
+
+def by_ways(spans: DataFrame, opts: TableOpts, *ways: str) -> DataFrame:
+    """Tables of pages by the ways named: the first of them that finds any on a page."""
+    lim = Limits.of(opts)
+    out = in_batches(spans, PAGE, opts, lambda s: found(s, lim, ways), f"way int, table_no int, row_no int, y double, columns {COLUMNS}, cells array<string>")
+    if not lim.chosen:  # rows go first, then what is left is numbered
+        keys = (*PAGE, "way", "table_no")
+        page = Window.partitionBy(*KEYS)
+        out = filtered(out, opts, keys).withColumn("first", F.min("way").over(page)).where("way = first")
+        out = out.withColumn("row_no", F.row_number().over(Window.partitionBy(*keys).orderBy("row_no")) - 1)
+        out = out.withColumn("table_no", F.dense_rank().over(page.orderBy("table_no")) - 1)
+    return out.select(*KEYS, "table_no", "row_no", "y", "columns", "cells")
+
+
 def by_gaps(spans: DataFrame, opts: TableOpts) -> DataFrame:
     """Tables where rows in a row share recurring gaps; the first row of such a region is its header."""
-    need = opts.columns_at_least - 1
-    page = sheets(spans, opts.y_tol).where(F.size("rows") >= 2)
-    page = with_clusters(page, gaps(F.col("rows"), opts.gap_over), GAP_CLUSTER, "c")
-    strong = F.filter("c", lambda c: c["support"] >= F.greatest(F.lit(3), (F.size("rows") / 4).cast("int")))
-    page = barrier(page, "strong", strong).where(F.size("strong") >= need)
-    shared = lambda r: F.size(F.filter("strong", lambda c: F.exists(c["rows"], lambda k: k["row_no"] == r["row_no"])))
-    row = page.select(*KEYS, F.transform("strong", lambda c: c["x"]).alias("gaps"), F.explode(F.filter("rows", lambda r: shared(r) >= need)).alias("r"))
-    row = row.select(*KEYS, "gaps", "r.row_no", "r.y", "r.spans")
-    island = F.col("row_no") - F.row_number().over(Window.partitionBy(*KEYS).orderBy("row_no"))
-    region = row.withColumn("island", island).groupBy(*KEYS, "island").agg(F.first("gaps").alias("gaps"), F.array_sort(F.collect_list(F.struct("row_no", "y", "spans"))).alias("rows")).where(F.size("rows") >= 2)
-
-    def head(acc: Column, s: Column) -> Column:
-        n = F.size(F.filter("gaps", lambda g: g < s["x"]))
-        last = F.element_at(acc, -1)
-        joined = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(last["n"].alias("n"), F.concat(last["name"], F.lit(" "), s["text"]).alias("name"), last["x"].alias("x")))
-        return F.when((F.size(acc) > 0) & (last["n"] == n), joined).otherwise(F.array_append(acc, F.struct(n.alias("n"), s["text"].alias("name"), s["x"].alias("x"))))
-
-    names = F.aggregate(F.get("rows", F.lit(0))["spans"], F.array().cast("array<struct<n:int,name:string,x:double>>"), head, lambda acc: F.transform(acc, lambda h: F.struct(h["name"].alias("name"), h["x"].alias("x"))))
-    region = barrier(region, "columns", names).where(F.size("columns") >= 2).withColumn("data", F.slice("rows", F.lit(2), F.size("rows")))
-    keys = (*PAGE, "island")
-    return numbered(data_rows(exploded(region, *keys), opts, keys), keys, F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("island")) - 1)
+    return by_ways(spans, opts, "gaps")
 
 
 def by_anchors(spans: DataFrame, opts: TableOpts) -> DataFrame:
     """Tables under the row that puts header-like texts on most of the page's recurring starts."""
-    least = opts.columns_at_least
-    page = sheets(spans, opts.y_tol).where(F.size("rows") >= 2)
-    page = with_clusters(page, starts(F.col("rows")), ANCHOR_CLUSTER, "c")
-    page = barrier(page, "anchors", well_kept(F.col("c"), F.greatest(F.lit(3), (F.size("rows") * ANCHOR_SHARE).cast("int")))).where(F.size("anchors").between(least, MAX_ANCHORS))
-    near = lambda s, a: F.abs(s["x"] - a["x"]) < ANCHOR_CLUSTER
-    score = lambda r: F.size(F.filter("anchors", lambda a: F.exists(r["spans"], lambda s: near(s, a) & is_header_text(s["text"]))))
-    page = barrier(page, "scores", F.transform("rows", lambda r: F.struct(score(r).alias("n"), (-r["row_no"]).alias("up"))))
-    best = F.array_max("scores")
-    page = page.where(best["n"] >= F.greatest(F.lit(least), (F.size("anchors") * 2 / 3).cast("int"))).withColumn("last", -best["up"])
-    own = F.get("rows", F.col("last"))["spans"]
-    closest = lambda a: F.array_min(F.transform(own, lambda s, i: F.when(near(s, a), F.struct(F.abs(s["x"] - a["x"]).alias("d"), i.alias("i"), s["text"].alias("text")))))
-    heads = F.filter(F.transform("anchors", lambda a: F.struct(a["x"].alias("x"), closest(a)["text"].alias("text"))), lambda h: h["text"].isNotNull())
-    page = with_data(barrier(page, "heads", heads).where(F.size("heads") >= least), opts)
-    return numbered(data_rows(exploded(page, *KEYS), opts, PAGE), PAGE)
+    return by_ways(spans, opts, "anchors")
 
 
 def find_tables(spans: DataFrame, opts: TableOpts | None = None) -> DataFrame:
     """By headers if there are any in the options; else all tables by gaps and, on pages without one, by anchors."""
     opts = opts or TableOpts()
-    if opts.headers:
-        return by_headers(spans, opts)
-    either = by_gaps(spans, opts).withColumn("way", F.lit(0)).unionByName(by_anchors(spans, opts).withColumn("way", F.lit(1)))
-    first = F.min("way").over(Window.partitionBy(*KEYS))  # anchors count where the page has no table by gaps
-    return either.withColumn("first", first).where("way = first").drop("way", "first")
+    return by_headers(spans, opts) if opts.headers else by_ways(spans, opts, "gaps", "anchors")
 
 
 def find_table(spans: DataFrame, opts: TableOpts | None = None) -> DataFrame:
@@ -178,62 +173,48 @@ def shared_columns(pages: DataFrame, opts: TableOpts) -> DataFrame:
     return remapped(both, F.col("rows")).select("doc_id", "columns")
 
 
-def shared_anchors(pages: DataFrame, opts: TableOpts) -> DataFrame:
-    """(doc_id, columns): the row of a document that looks most like a header, its names on the starts that recur over
-    all pages; its own places where too few recur."""
-    least = opts.columns_at_least
-    doc = document_sheets(pages)
-    length = lambda h: F.aggregate(h, F.lit(0), lambda a, x: a + F.octet_length(x["text"]))
-    doc = barrier(doc, "heads", F.filter(F.transform("rows", lambda r: header_like(r["spans"])), lambda h: F.size(h) >= least))
-    doc = barrier(doc, "ranked", F.transform("heads", lambda h, i: F.struct(F.size(h).alias("n"), (-length(h)).alias("short"), (-i).alias("early"))))
-    doc = doc.where(F.size("heads") > 0).withColumn("columns", as_columns(F.get("heads", -F.array_max("ranked")["early"])))
-    doc = with_clusters(doc, starts(F.col("rows")), ANCHOR_CLUSTER, "c")
-    doc = barrier(doc, "found", well_kept(F.col("c"), F.greatest(F.lit(3), F.least(F.lit(20), (F.size("rows") * ANCHOR_SHARE).cast("int")))))
-    most = lambda a, b: F.when(a["support"] > b["support"], -1).when(a["support"] < b["support"], 1).when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).otherwise(0)
-    top = F.array_sort(F.slice(F.array_sort("found", most), F.lit(1), F.size("columns")))
-    doc = barrier(doc, "anchors", F.when(F.size("found") > F.size("columns"), top).otherwise(F.col("found")))
-    return doc.select("doc_id", F.when(F.size("anchors") >= least, zones(F.col("columns"), F.col("anchors"))).otherwise(F.col("columns")).alias("columns"))
-
-
 def across_pages(spans: DataFrame, opts: TableOpts) -> DataFrame:
     """One table of all pages of a document that have a header: (doc_id, row_no, page, y, columns, cells). From the
     second such page on, rows above the header come first: they continue the page before. Without headers in the
     options they are found; auto_tune then picks, over a grid of merge gaps and row gaps, the table of the best score."""
+    if not opts.headers:
+        return _across_found(spans, opts)
     pages = sheets(spans, opts.y_tol)
-    if opts.headers:
-        given = shared_columns(pages, opts).where(F.size("columns") >= len(opts.headers))
-        place = with_header(pages, lowered(opts.headers))
-    else:
-        given = shared_anchors(pages, opts).where(F.size("columns") > 0)
-        named = pages.join(given.select("doc_id", F.transform("columns", lambda c: F.lower(c["name"])).alias("names")), "doc_id")
-        place = with_header(named, F.col("names"))
-    tune = opts.auto_tune and not opts.headers and not opts.merge_gap and not opts.max_row_gap
-    return _gathered(place, given, replace(opts, auto_tune=False), tune)
-
-
-def _gathered(place: DataFrame, given: DataFrame, opts: TableOpts, tune: bool) -> DataFrame:
-    place = remapped(with_data(place, opts), F.col("data"))
+    given = shared_columns(pages, opts).where(F.size("columns") >= len(opts.headers))
+    place = remapped(with_data(with_header(pages, lowered(opts.headers)), opts), F.col("data"))
     place = place.join(given.withColumnRenamed("columns", "given"), "doc_id", "left").withColumn("columns", F.coalesce("given", "columns"))
     place = place.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("page")))
     above = F.when(F.col("nth") > 1, F.filter("rows", lambda r: r["row_no"] < F.col("first"))).otherwise(F.slice("rows", 1, 0))
     parts = F.array(F.struct(F.lit(0).alias("part"), above.alias("data")), F.struct(F.lit(1).alias("part"), F.col("data").alias("data")))
     every = place.select("doc_id", "page", "columns", F.explode(parts).alias("p")).select("doc_id", "page", "columns", "p.part", "p.data")
-    extra: tuple[str, ...] = ()
-    if tune:
-        extra = ("grid", "merge_gap", "row_gap")
-        grid = [(m, r) for m in TUNE_MERGE_GAPS for r in TUNE_ROW_GAPS]
-        every = every.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), F.lit(m).alias("merge_gap"), F.lit(r).alias("row_gap")) for i, (m, r) in enumerate(grid)])).alias("g")).select("*", "g.*").drop("g")
-    keys = ("doc_id", "page", "part", *extra)
-    out = data_rows(exploded(every, *keys), opts, keys, F.col("merge_gap") if tune else None, F.col("row_gap") if tune else None)
+    keys = ("doc_id", "page", "part")
+    return in_one(data_rows(exploded(every, *keys), opts, keys))
+
+
+def _across_found(spans: DataFrame, opts: TableOpts) -> DataFrame:
+    """The header is the row of a document that looks most like one, its names on the starts that recur over all pages;
+    its own places where too few recur."""
+    tune = opts.auto_tune and not opts.merge_gap and not opts.max_row_gap
+    lim = Limits.of(opts, tune)
+    rest = "" if lim.chosen else ", part int, grid int"
+    out = in_batches(spans, ("doc_id",), opts, lambda s: across(s, lim), f"row_no int, y double, columns {COLUMNS}, cells array<string>{rest}")
+    if lim.chosen:
+        return out.select("doc_id", "row_no", "page", "y", "columns", "cells")
+    out = filtered(out, opts, ("doc_id", "page", "part", "grid"))
     if tune:
         total = Window.partitionBy("doc_id", "grid")
         filled = F.sum(F.size(F.filter("cells", lambda c: c != ""))).over(total) / F.sum(F.size("cells")).over(total)
         out = out.withColumn("score", F.log1p(F.count("*").over(total)) * F.pow(filled, 2))
         best = Window.partitionBy("doc_id")
         out = out.withColumn("best", F.max(F.struct("score", (-F.col("grid")).alias("early"))).over(best)).where(F.col("grid") == -F.col("best")["early"])
+    return in_one(out)
+
+
+def in_one(rows: DataFrame) -> DataFrame:
+    """Rows of a document's pages and parts as one table."""
     w = Window.partitionBy("doc_id").orderBy("page", "part", "row_no")
     first = F.first("columns").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return out.select("doc_id", (F.row_number().over(w) - 1).alias("row_no"), "page", "y", first.alias("columns"), "cells")
+    return rows.select("doc_id", (F.row_number().over(w) - 1).alias("row_no"), "page", "y", first.alias("columns"), "cells")
 
 
 def score(tables: DataFrame, keys: list[str]) -> DataFrame:
