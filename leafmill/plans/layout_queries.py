@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import rows, tables
 from ..options import TableOpts
-from .layouts import CELLS_SQL, INVOICE_SQL, LINES_SQL, as_invoice, cell_texts, header_texts, invoice_texts, order_lines, paged_texts, spans_of
+from .layouts import CELLS_SQL, INVOICE_SQL, LINES_SQL, as_invoice, cell_texts, headed_texts, header_texts, invoice_texts, order_lines, paged_texts, spans_of, texts_of
 
 HEADERS = TableOpts(headers=("Part", "Supplier"))
 
@@ -64,15 +65,19 @@ def two_row_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(key(), (F.col("row_no") + 1).cast("long").alias("n"), F.array_join(F.transform("columns", lambda c: c["name"]), "|").alias("names"), F.array_join("cells", "|").alias("cells"))
 
 
-def even_cells(spark: SparkSession, sf_dir: str, width: int, gap: float, names: tuple[str, ...]) -> DataFrame:
-    """Tables whose texts are all of one width, so that gaps and starts recur exactly."""
-    lines = order_lines(spark, sf_dir)
+EVEN_NAMES = ("PartNumber", "SupplierNo", "TotalPrice")
+
+
+def even_table(width: int, gap: float, top: Column | float = 700.0, seq: int = 0) -> tuple[list[tuple], list[tuple]]:
+    """(head, body) of a table whose texts are all of one width, so that gaps and starts recur exactly."""
     values = (F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.format_string("%.2f", "l_extendedprice"))
-    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(50 + i * (6 * width + gap)).alias("x"), F.lpad(v, width, "0").alias("text")) for i, v in enumerate(values)])
-    flat = lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(0).alias("page"), (700.0 - 20 * F.col("n")).alias("y"), "n", F.explode(cells).alias("k"))
-    data = flat.select("doc_id", "page", (F.col("n") * 10 + F.col("k.c")).cast("int").alias("op_seq"), "k.x", "y", "k.text")
-    head = header_texts(data.select("doc_id", "page").distinct(), 700.0, tuple((n, 50 + i * (6 * width + gap)) for i, n in enumerate(names)))
-    return spans_of(data.unionByName(head))
+    xs = [50 + i * (6 * width + gap) for i in range(len(values))]
+    head = [(seq + i, x, top, n) for i, (x, n) in enumerate(zip(xs, EVEN_NAMES, strict=True))]
+    return head, [(F.col("n") * 10 + seq + i, x, top - 20 * F.col("n"), F.lpad(v, width, "0")) for i, (x, v) in enumerate(zip(xs, values, strict=True))]
+
+
+def even_cells(spark: SparkSession, sf_dir: str, width: int, gap: float) -> DataFrame:
+    return spans_of(texts_of(order_lines(spark, sf_dir), 0, F.col("n") == 1, *even_table(width, gap)))
 
 
 def as_three(found: DataFrame) -> DataFrame:
@@ -85,29 +90,28 @@ def three_sql(width: int) -> str:
 
 
 def gap_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_three(tables.by_gaps(even_cells(spark, sf_dir, 10, 30.0, ("PartNumber", "SupplierNo", "TotalPrice")), TableOpts()))
+    return as_three(tables.by_gaps(even_cells(spark, sf_dir, 10, 30.0), TableOpts()))
 
 
 def anchor_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells six points apart leave no gap; starts recur."""
-    return as_three(tables.by_anchors(even_cells(spark, sf_dir, 10, 6.0, ("PartNumber", "SupplierNo", "TotalPrice")), TableOpts()))
+    return as_three(tables.by_anchors(even_cells(spark, sf_dir, 10, 6.0), TableOpts()))
 
 
 def any_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of documents with wide gaps and with narrow ones, found either way."""
-    wide = even_cells(spark, sf_dir, 10, 30.0, ("PartNumber", "SupplierNo", "TotalPrice")).where("cast(doc_id AS long) % 2 = 0")
-    narrow = even_cells(spark, sf_dir, 10, 6.0, ("PartNumber", "SupplierNo", "TotalPrice")).where("cast(doc_id AS long) % 2 = 1")
+    wide = even_cells(spark, sf_dir, 10, 30.0).where("cast(doc_id AS long) % 2 = 0")
+    narrow = even_cells(spark, sf_dir, 10, 6.0).where("cast(doc_id AS long) % 2 = 1")
     return as_three(tables.find_table(wide.unionByName(narrow)))
 
 
 def two_on_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table, a line of text, and a second table with the same lines below it."""
-    first = even_cells(spark, sf_dir, 10, 30.0, ("PartNumber", "SupplierNo", "TotalPrice"))
-    many = order_lines(spark, sf_dir).groupBy(F.col("l_orderkey").cast("string").alias("doc_id")).agg(F.count("*").alias("many"))
-    below = first.join(many, "doc_id")
-    between = below.groupBy("doc_id", "page").agg(F.max("many").alias("many")).select("doc_id", "page", F.lit(100_000).alias("span_seq"), F.lit(50.0).alias("x"), (680.0 - 20 * F.col("many")).alias("y"), F.lit(80.0).alias("end_x"), F.lit(12.0).alias("font_size"), F.lit("F").alias("font"), F.lit("notes").alias("text"))
-    below = below.withColumns({"y": F.col("y") - 20 * (F.col("many") + 2), "span_seq": F.col("span_seq") + 200_000}).drop("many")
-    found = tables.find_tables(first.unionByName(between).unionByName(below))
+    lines = order_lines(spark, sf_dir).withColumn("many", F.count("*").over(Window.partitionBy("l_orderkey")))
+    head, body = even_table(10, 30.0)
+    low_head, low_body = even_table(10, 30.0, 700.0 - 20 * (F.col("many") + 2), 200_000)
+    between = (100_000, 50.0, 680.0 - 20 * F.col("many"), "notes")
+    found = tables.find_tables(spans_of(texts_of(lines, 0, F.col("n") == 1, [*head, between, *low_head], body + low_body)))
     return found.select(key(), F.col("table_no").cast("int").alias("table_no"), (F.col("row_no") + 1).cast("long").alias("n"), *[F.get("cells", F.lit(i)).alias(k) for i, k in enumerate(("part", "supplier", "price"))])
 
 
@@ -120,11 +124,11 @@ def header_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("l_orderkey", F.col("c.name").alias("name"), F.col("c.x").alias("x"))
 
 
-def continued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows 40 points apart, each with a text under its supplier 12 points below."""
-    data = body(spark, sf_dir).withColumn("y", 700 - 2 * (700 - F.col("y")))
-    more = order_lines(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(0).alias("page"), (F.col("n") * 10 + 7).cast("int").alias("op_seq"), F.lit(130.0).alias("x"), (700.0 - 40 * F.col("n") - 12).alias("y"), F.concat(F.lit("ref "), F.col("l_returnflag")).alias("text"))
-    return spans_of(data.unionByName(more).unionByName(header_texts(data.select("doc_id", "page").distinct())))
+def continued(spark: SparkSession, sf_dir: str, below: int = 12) -> DataFrame:
+    """Rows 40 points apart, each with a text under its supplier that many points below."""
+    y = 700.0 - 40 * F.col("n")
+    more = (F.col("n") * 10 + 7, 130.0, y - below, F.concat(F.lit("ref "), F.col("l_returnflag")))
+    return spans_of(headed_texts(order_lines(spark, sf_dir), y, 0, F.col("n") == 1, more))
 
 
 CONTINUED_SQL = f"SELECT l_orderkey, n, part, supplier || ' ref ' || l_returnflag AS supplier, qty, price, flag FROM (SELECT *, {CELLS_SQL} FROM ({LINES_SQL}))"
@@ -193,11 +197,7 @@ def autotune(spark: SparkSession, sf_dir: str) -> DataFrame:
 def autotune_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows 40 points apart, each continued 14 points below: of the candidates only those that merge what is closer than
     16 points and do not end a table at 26 give full rows; the others give fewer or emptier ones."""
-    lines = order_lines(spark, sf_dir)
-    data = cell_texts(lines, 700 - 40 * F.col("n"))
-    more = lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(0).alias("page"), (F.col("n") * 10 + 7).cast("int").alias("op_seq"), F.lit(130.0).alias("x"), (686.0 - 40 * F.col("n")).alias("y"), F.concat(F.lit("ref "), F.col("l_returnflag")).alias("text"))
-    spans = spans_of(data.unionByName(more).unionByName(header_texts(data.select("doc_id", "page").distinct())))
-    return as_invoice(tables.across_pages(spans, TableOpts(auto_tune=True)))
+    return as_invoice(tables.across_pages(continued(spark, sf_dir, 14), TableOpts(auto_tune=True)))
 
 
 def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,16 +39,21 @@ def cell_texts(lines: DataFrame, y: Column, page: Column | int = 0) -> DataFrame
     return flat.select("doc_id", "page", (F.col("n") * 10 + F.col("k.c")).cast("int").alias("op_seq"), "k.x", "y", "k.text")
 
 
-def headed_texts(lines: DataFrame, y: Column, page: Column | int, first: Column) -> DataFrame:
-    """cell_texts with header_texts on each page, out of one pass over the lines; first: the line is its page's first."""
+def texts_of(lines: DataFrame, page: Column | int, first: Column, head: list[tuple], body: list[tuple]) -> DataFrame:
+    """(doc_id, page, op_seq, x, y, text): the texts ``body`` of each line, and ``head`` where it is its page's first, out
+    of one pass over the lines; a text is (op_seq, x, y, text)."""
     page = F.lit(page) if isinstance(page, int) else page
-    place = lambda seq, x, y, text: F.struct(seq.cast("int").alias("op_seq"), F.lit(x).cast("double").alias("x"), y.cast("double").alias("y"), text.alias("text"))
-    body = F.array(*[place(F.col("n") * 10 + i, x, y, F.expr(e)) for i, (_, x, e) in enumerate(COLUMNS)])
-    head = F.array(*[place(F.lit(i), x, F.lit(700.0), F.lit(n)) for i, (n, x, _) in enumerate(COLUMNS)])
-    every = F.when(first, F.concat(head, body)).otherwise(body)
+    placed = lambda texts: F.array(*[F.struct(F.lit(seq).cast("int").alias("op_seq"), F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"), F.lit(text).alias("text")) for seq, x, y, text in texts])
+    every = F.when(first, F.concat(placed(head), placed(body))).otherwise(placed(body))
     return lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), page.cast("int").alias("page"), F.inline(every))
 
 
+def headed_texts(lines: DataFrame, y: Column, page: Column | int, first: Column, *more: tuple) -> DataFrame:
+    """cell_texts with header_texts on each page, and what more texts a line has; first: the line is its page's first."""
+    body = [(F.col("n") * 10 + i, x, y, F.expr(e)) for i, (_, x, e) in enumerate(COLUMNS)]
+    return texts_of(lines, page, first, [(i, x, 700.0, n) for i, (n, x, _) in enumerate(COLUMNS)], [*body, *more])
+
+
 def header_texts(pages: DataFrame, y: float = 700.0, names: tuple[tuple[str, float], ...] | None = None) -> DataFrame:
     """(doc_id, page, op_seq, x, y, text): the header on each of the pages (doc_id, page)."""
     names = names or tuple((n, float(x)) for n, x, _ in COLUMNS)

@@ -17,7 +17,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
-@pytest.mark.parametrize("name", ["table_autotune", "tables_across_pages_auto"])
+@pytest.mark.parametrize("name", ["table_autotune", "table_autotune_choice", "tables_across_pages_auto", "tables_two_on_page"])
 def test_one_pass_and_two_exchanges(spark, name):
     plan = layout_queries.QUERIES[name][0](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall("FileScan", plan)) == 1 and len(re.findall("Exchange hashpartitioning", plan)) == 2
