@@ -31,11 +31,12 @@ class Limits:
     max_row_gap: float
     tune: bool
     chosen: bool
+    names: tuple[str, ...] | None = None  # in lower case; instead of columns and cells, the cells under these headers
 
     @staticmethod
-    def of(opts: TableOpts, tune: bool = False) -> Limits:
+    def of(opts: TableOpts, tune: bool = False, names: tuple[str, ...] | None = None) -> Limits:
         chosen = opts.row_filter is None and not opts.require_any_column and not opts.anchor_column
-        return Limits(opts.y_tol, opts.wrap_tol, opts.columns_at_least, opts.gap_over, float(opts.merge_gap), float(opts.max_row_gap), tune, chosen)
+        return Limits(opts.y_tol, opts.wrap_tol, opts.columns_at_least, opts.gap_over, float(opts.merge_gap), float(opts.max_row_gap), tune, chosen, names)
 
 
 # Groups
@@ -47,6 +48,8 @@ def changes(values: np.ndarray) -> np.ndarray:
 
 
 def codes(column: pa.Array) -> np.ndarray:
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy()
     return pc.dictionary_encode(column, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
 
 
@@ -74,6 +77,32 @@ def joined_texts(text: pa.Array, counts: np.ndarray) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(offsets(counts), text), " ")
 
 
+def view(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts."""
+    offs = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int32)
+    data = text.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offs
+
+
+NUMERIC = np.isin(np.arange(256), list(b"0123456789.,- "))
+
+
+def with_words(text: pa.Array) -> np.ndarray:
+    """Which texts have a character that is none of digits, points, commas, hyphens and spaces."""
+    data, offs = view(text)
+    other = np.append(0, np.cumsum(~NUMERIC[data[offs[0] : offs[-1]]]))
+    return np.diff(other[offs - offs[0]]) > 0
+
+
+def without_edges(text: pa.Array) -> np.ndarray:
+    """Which texts begin and end with a visible ASCII character."""
+    data, offs = view(text)
+    full = np.diff(offs) > 0
+    first, last = data[offs[:-1][full]], data[offs[1:][full] - 1]
+    full[full] = (first > 32) & (first < 127) & (last > 32) & (last < 127)
+    return full
+
+
 def so_far(flag: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """True from the first flag of a group on."""
     total = np.cumsum(flag)
@@ -124,9 +153,12 @@ class Clusters:
         order = np.lexsort((v[at], groups[at]))
         place = np.empty(len(at), np.int64)
         place[order] = np.arange(len(at))
-        pairs = np.unique(place[which] * n_rows + row)
-        cluster = pairs // max(n_rows, 1)
-        return Clusters(groups[at][order], v[at][order], count_of(cluster, len(at)), (cluster, pairs % max(n_rows, 1)))
+        pairs = row * len(at) + place[which]
+        if not (pairs[1:] >= pairs[:-1]).all():
+            pairs.sort()
+        pairs = pairs[changes(pairs)]
+        cluster = pairs % max(len(at), 1)
+        return Clusters(groups[at][order], v[at][order], count_of(cluster, len(at)), (cluster, pairs // max(len(at), 1)))
 
 
 def zones(column_x: np.ndarray, start: np.ndarray, count: np.ndarray, groups: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +174,11 @@ def zones(column_x: np.ndarray, start: np.ndarray, count: np.ndarray, groups: np
     return a[first], c[first]
 
 
+def taken(column: pa.Array, at: np.ndarray) -> pa.Array:
+    """column.take, but for nothing where all stands so already."""
+    return column if len(at) == len(column) and (at == np.arange(len(at))).all() else column.take(pa.array(at))
+
+
 def contained(texts: pa.Array, i: np.ndarray, wanted: pa.Array, j: np.ndarray) -> np.ndarray:
     """Whether text i holds wanted text j, for each pair."""
     code = codes(wanted)[j]
@@ -187,19 +224,26 @@ class Sheets:
             by_x = ordered(col["text"].take(pa.array(order)), [row, x, seq[order], num["end_x"][order], num["font_size"][order]])
         at = order[by_x]
         self.row, self.x, self.end_x, self.size = row[by_x], num["x"][at], num["end_x"][at], num["font_size"][at]
-        self.text = col["text"].take(pa.array(at))
-        self.low = pc.coalesce(col["low"].take(pa.array(at)), self.text)
+        self.text = taken(col["text"], at)
+        self.low = pc.coalesce(taken(col["low"], at), self.text)
         self.page_rows = count_of(self.row_page, self.n_pages)
         self.row_spans = count_of(self.row, self.n_rows)
         self.row_start = starts_of(self.row_spans)
         self.row_doc = self.page_doc[self.row_page]
         self.one_word = ~pc.match_substring(self.text, " ").to_numpy(zero_copy_only=False)
         self.bytes = pc.binary_length(self.text).to_numpy(zero_copy_only=False)
+        self.words = with_words(self.text)
+
+    def follows(self, last: pa.Scalar | None) -> bool:
+        """Whether documents, after the one that was last before, and the pages of each stand in order and come once."""
+        docs = self.doc_id if last is None else pa.concat_arrays([pa.array([last.as_py()], self.doc_id.type), self.doc_id])
+        p = pc.fill_null(pc.cast(self.page_no, pa.int64()), np.iinfo(np.int64).min).to_numpy()
+        rising = not docs[1:].null_count and pc.all(pc.less(docs[:-1], docs[1:]), min_count=0).as_py()
+        return rising and bool(((p[1:] > p[:-1]) | (self.page_doc[1:] > self.page_doc[:-1])).all())
 
     def headings(self) -> np.ndarray:
         """Which spans could be headers: short and no numbers."""
-        words = pc.match_substring_regex(self.text, r"[^0-9.,\- ]").to_numpy(zero_copy_only=False)
-        return words & (self.bytes >= 1) & (self.bytes <= HEADER_BYTES)
+        return self.words & (self.bytes >= 1) & (self.bytes <= HEADER_BYTES)
 
     def spans_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(k, span): the spans of each of the rows, k its number among them."""
@@ -253,6 +297,14 @@ class Columns:
         count = count_of(tables, n)
         return Columns(starts_of(count), count, x, names)
 
+    def named(self, low: pa.Array, name: str) -> np.ndarray:
+        """The first column of a name in each table, -1 where it has none; low: the names in lower case."""
+        out, at = np.full(len(self.count), -1), np.flatnonzero(pc.equal(low, name).to_numpy(zero_copy_only=False))
+        table = np.repeat(np.arange(len(self.count)), self.count)[at]
+        at, table = at[changes(table)], table[changes(table)]
+        out[table] = at - self.start[table]
+        return out
+
     def array(self) -> pa.Array:
         return pa.ListArray.from_arrays(offsets(self.count), pa.StructArray.from_arrays([self.names, pa.array(self.x)], ["name", "x"]))
 
@@ -293,6 +345,12 @@ class Rows:
         text = self.s.text.take(pa.array(self.span[mine][order]))
         return pa.ListArray.from_arrays(offsets(width[kept]), joined_texts(text, count_of(cell, int(width.sum()))))
 
+    def cells_under(self, cells: pa.ListArray, own: np.ndarray, column: np.ndarray) -> pa.Array:
+        """Of rows of cells, own in rows, those in a column of each table; empty where it is -1."""
+        at = column[self.table[own]]
+        place = cells.offsets.to_numpy()[:-1] + at
+        return pc.fill_null(cells.values.take(pa.array(place, mask=at < 0)), "")
+
     def choices(self, group: np.ndarray, n: int) -> np.ndarray:
         """The number in GRID of the best table of each group: the logarithm of one more than the rows, times the square
         of the share of filled cells; the first of the best."""
@@ -349,8 +407,13 @@ def across(s: Sheets, lim: Limits) -> pa.Table:
     # where pages have these headers
     width = columns.count[s.row_doc]
     base = starts_of(width)
-    i, j = cross(span_doc, columns.start, columns.count)
-    hit = contained(s.low, i, s.low.take(pa.array(name_at)), j)
+    texts = np.flatnonzero(s.words)  # a header has a character that numbers lack
+    i, j = cross(span_doc[texts], columns.start, columns.count)
+    i, low_names = texts[i], s.low.take(pa.array(name_at))
+    size = pc.binary_length(s.low).to_numpy(zero_copy_only=False)
+    fits = size[i] >= size[name_at][j]
+    i, j = i[fits], j[fits]
+    hit = contained(s.low, i, low_names, j)
     i, j = i[hit], j[hit]
     holds, named = np.zeros(int(width.sum()), bool), np.zeros(len(s.x), bool)
     holds[base[s.row[i]] + j - columns.start[span_doc[i]]] = True
@@ -381,16 +444,17 @@ def across(s: Sheets, lim: Limits) -> pa.Table:
     use = np.flatnonzero(data | (placed & later[s.row_page] & (row < head)))
     part = data[use].astype(np.int64)
     r = Rows(s, use, s.row_page[use] * 2 + part, s.row_doc[use], columns)
+    names = None if lim.names is None else [columns.named(low_names, n) for n in lim.names]
     if lim.tune and lim.chosen:
         choice = r.choices(r.table, docs)
         gap, cut = (np.array(v)[choice][r.table] for v in zip(*GRID, strict=True))
-        return spread_out(r, part, gap, cut, lim.chosen)
+        return spread_out(r, part, gap, cut, lim.chosen, names=names)
     if lim.tune:
         return pa.concat_tables([spread_out(r, part, g, c, False, n) for n, (g, c) in enumerate(GRID)])
-    return spread_out(r, part, lim.merge_gap, lim.max_row_gap, lim.chosen)
+    return spread_out(r, part, lim.merge_gap, lim.max_row_gap, lim.chosen, names=names)
 
 
-def spread_out(r: Rows, part: np.ndarray, gap: np.ndarray | float, cut: np.ndarray | float, chosen: bool, grid: int = 0) -> pa.Table:
+def spread_out(r: Rows, part: np.ndarray, gap: np.ndarray | float, cut: np.ndarray | float, chosen: bool, grid: int = 0, names: list[np.ndarray] | None = None) -> pa.Table:
     s, (to, first, kept) = r.s, r.merged(gap, cut)
     own = first[kept]
     doc = r.table[own]
@@ -398,7 +462,12 @@ def spread_out(r: Rows, part: np.ndarray, gap: np.ndarray | float, cut: np.ndarr
     if chosen:
         number = number - np.flatnonzero(changes(doc))[np.cumsum(changes(doc)) - 1]
     page = s.row_page[r.rows[own]]
-    out = {"doc_id": s.doc_id.take(pa.array(doc)), "page": s.page_no.take(pa.array(page)), "row_no": pa.array(number, pa.int32()), "y": pa.array(r.y[own]), "columns": r.columns.array().take(pa.array(doc)), "cells": r.cells(to, first, kept)}
+    out = {"doc_id": s.doc_id.take(pa.array(doc)), "page": s.page_no.take(pa.array(page)), "row_no": pa.array(number, pa.int32()), "y": pa.array(r.y[own])}
+    cells = r.cells(to, first, kept)
+    if names is None:
+        out |= {"columns": r.columns.array().take(pa.array(doc)), "cells": cells}
+    else:
+        out |= {f"_{i}": r.cells_under(cells, own, column) for i, column in enumerate(names)}
     if not chosen:
         out |= {"part": pa.array(part[own], pa.int32()), "grid": pa.array(np.full(len(own), grid), pa.int32())}
     return pa.table(out)
@@ -516,6 +585,31 @@ def found(s: Sheets, lim: Limits, ways: tuple[str, ...]) -> pa.Table:
     return pa.concat_tables(out)
 
 
+FIELDS = ("span_seq", "x", "y", "end_x", "font_size", "text")
+# what trim takes off: white space, the next-line character and separators
+BLANK = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def replaced(text: pa.Array, where: np.ndarray, by: pa.Array) -> pa.Array:
+    return pc.replace_with_mask(text, pa.array(where), by) if where.any() else text
+
+
+def unpacked(b: pa.RecordBatch) -> pa.RecordBatch:
+    """A row a span of rows with FIELDS in arrays: texts trimmed, without empty ones, and in lower case too."""
+    counts = pc.fill_null(pc.list_value_length(b["text"]), 0).to_numpy()
+    if any(not pc.fill_null(pc.list_value_length(b[f]), 0).equals(pa.array(counts, pa.int32())) for f in FIELDS):
+        raise ValueError("the arrays of a row differ in length")
+    row = pa.array(np.repeat(np.arange(b.num_rows), counts))
+    col = {"doc_id": b["doc_id"].take(row), "page": b["page"].take(row)} | {f: b[f].flatten() for f in FIELDS}
+    text = col["text"]
+    plain = without_edges(text)
+    text = replaced(text, ~plain, pc.utf8_trim(text.filter(pa.array(~plain)), BLANK))
+    low, wide = pc.ascii_lower(text), ~pc.fill_null(pc.string_is_ascii(text), True).to_numpy(zero_copy_only=False)
+    low = replaced(low, wide, pa.array([t.lower() for t in text.filter(pa.array(wide)).to_pylist()], pa.string()))
+    out = pa.RecordBatch.from_pydict(col | {"text": text, "low": low})
+    return out if plain.all() else out.filter(pc.not_equal(text, ""))
+
+
 def whole(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
     """Batches in order of keys as tables of whole documents or pages."""
     held: list[pa.RecordBatch] = []

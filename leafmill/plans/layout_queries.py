@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import rows, tables
 from ..options import TableOpts
-from .layouts import CELLS_SQL, INVOICE_SQL, LINES_SQL, as_invoice, cell_texts, headed_texts, header_texts, invoice_texts, order_lines, paged_texts, spans_of, texts_of
+from .layouts import CELLS_SQL, INVOICE_SQL, LINES_SQL, NAMES, as_invoice, cell_texts, headed_texts, header_texts, invoice_texts, order_lines, paged_spans, paged_texts, spans_of, texts_of
 
 HEADERS = TableOpts(headers=("Part", "Supplier"))
 
@@ -187,7 +187,7 @@ def across_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def across_pages_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_invoice(tables.across_pages(spans_of(paged_texts(spark, sf_dir)), TableOpts()))
+    return as_invoice(tables.across_pages_wide(paged_spans(spark, sf_dir), TableOpts(), NAMES, in_order=True))
 
 
 def autotune(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,14 @@ an order are numbered by their full list of values, as (l_orderkey, l_linenumber
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import sinks
+from ..operators.spread import spread
 from ..sources.pdf import extract_spans
 
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -18,6 +21,7 @@ ORDER_SQL = ", ".join(LINE_ORDER)
 # the lines of each order, numbered; the same on both sides
 LINES_SQL = f"SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER_SQL}) AS n FROM lineitem"
 COLUMNS = (("Part", 50, "cast(l_partkey AS string)"), ("Supplier", 130, "cast(l_suppkey AS string)"), ("Qty", 220, "format_string('%.2f', l_quantity)"), ("Price", 300, "format_string('%.2f', l_extendedprice)"), ("Flag", 400, "concat(l_returnflag, l_linestatus)"))
+NAMES = [name for name, _, _ in COLUMNS]
 CELLS_SQL = "cast(l_partkey AS VARCHAR) AS part, cast(l_suppkey AS VARCHAR) AS supplier, printf('%.2f', l_quantity) AS qty, printf('%.2f', l_extendedprice) AS price, l_returnflag || l_linestatus AS flag"
 
 
@@ -31,6 +35,12 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(w))
 
 
+def lines_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_lines with doc_id, dealt and sorted by it: there are fewer lines than spans to sort."""
+    lines = order_lines(spark, sf_dir).withColumn("doc_id", F.col("l_orderkey").cast("string"))
+    return spread(lines, "doc_id").sortWithinPartitions("doc_id", "n")
+
+
 def cell_texts(lines: DataFrame, y: Column, page: Column | int = 0) -> DataFrame:
     """(doc_id, page, op_seq, x, y, text): a text for each cell of the lines."""
     cells = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(float(x)).alias("x"), F.expr(e).alias("text")) for i, (_, x, e) in enumerate(COLUMNS)])
@@ -87,12 +97,35 @@ def paged_texts(spark: SparkSession, sf_dir: str, per_page: int = 3) -> DataFram
     return headed_texts(lines, 700 - 20 * row, page, row == 1)
 
 
+def paged_spans(spark: SparkSession, sf_dir: str, per_page: int = 3) -> DataFrame:
+    """The spans of paged_texts, in order of doc_id, page and span_seq; packed: a row a line, with its spans in arrays."""
+    page, row = F.floor((F.col("n") - 1) / per_page), (F.col("n") - 1) % per_page + 1
+    texts = [F.expr(e).alias(f"_{i}") for i, (_, _, e) in enumerate(COLUMNS)]
+    lines = lines_by_document(spark, sf_dir).select("doc_id", page.cast("int").alias("page"), "n", row.alias("row"), *texts)
+    head = [(F.lit(i), float(x), F.lit(700.0), F.lit(name)) for i, (name, x, _) in enumerate(COLUMNS)]
+    body = [(F.col("n") * 10 + i, float(x), 700.0 - 20 * F.col("row"), F.col(f"_{i}")) for i, (_, x, _) in enumerate(COLUMNS)]
+
+    def field(name: str, of: Callable[[Column, float, Column, Column], Column]) -> Column:
+        first, own = (F.array(*[of(*t) for t in texts]) for texts in (head + body, body))
+        return F.when(F.col("row") == 1, first).otherwise(own).alias(name)
+
+    return lines.select(
+        "doc_id", "page",
+        field("span_seq", lambda seq, x, y, text: seq.cast("int")),
+        field("x", lambda seq, x, y, text: F.lit(x)),
+        field("y", lambda seq, x, y, text: y.cast("double")),
+        field("end_x", lambda seq, x, y, text: (x + 6 * F.length(text)).cast("double")),
+        field("font_size", lambda seq, x, y, text: F.lit(12.0)),
+        field("text", lambda seq, x, y, text: text),
+    )
+
+
 def as_invoice(tables: DataFrame) -> DataFrame:
-    """(l_orderkey, n, part, supplier, qty, price, flag) of found tables."""
+    """(l_orderkey, n, part, supplier, qty, price, flag) of found tables, wide ones too."""
     from ..operators.tables import cell_by_name
 
-    names = {"part": "Part", "supplier": "Supplier", "qty": "Qty", "price": "Price", "flag": "Flag"}
-    return tables.select(F.col("doc_id").cast("long").alias("l_orderkey"), (F.col("row_no") + 1).cast("long").alias("n"), *[cell_by_name(v).alias(k) for k, v in names.items()])
+    cell = F.col if "cells" not in tables.columns else cell_by_name
+    return tables.select(F.col("doc_id").cast("long").alias("l_orderkey"), (F.col("row_no") + 1).cast("long").alias("n"), *[cell(v).alias(v.lower()) for v in NAMES])
 
 
 INVOICE_SQL = f"SELECT l_orderkey, n, {CELLS_SQL} FROM ({LINES_SQL})"
