@@ -610,10 +610,11 @@ def unpacked(b: pa.RecordBatch) -> pa.RecordBatch:
     return out if plain.all() else out.filter(pc.not_equal(text, ""))
 
 
-def whole(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Batches in order of keys as tables of whole documents or pages."""
+def whole(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int = 0) -> Iterator[pa.Table]:
+    """Batches in order of keys as tables of whole documents or pages, of least rows or SPANS_AT_ONCE about."""
+    least = least or SPANS_AT_ONCE
     held: list[pa.RecordBatch] = []
-    n, enough = 0, SPANS_AT_ONCE
+    n, enough = 0, least
     for b in batches:
         held.append(b)
         n += b.num_rows
@@ -623,7 +624,7 @@ def whole(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
         last = max(int(np.flatnonzero(changes(codes(t[k].combine_chunks())))[-1]) for k in keys)
         if last:
             yield t.slice(0, last)
-            held, n, enough = t.slice(last).to_batches(), n - last, max(SPANS_AT_ONCE, 2 * (n - last))
+            held, n, enough = t.slice(last).to_batches(), n - last, max(least, 2 * (n - last))
         else:
             enough = 2 * n
     if n:

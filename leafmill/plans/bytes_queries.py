@@ -14,7 +14,7 @@ from ..operators import lines, sinks
 from ..operators.tables import find_table
 from ..options import TableOpts
 from ..sources.pdf import extract_metadata, extract_pages, extract_spans
-from .layouts import INVOICE_SQL, LINES_SQL, as_invoice, invoice_spans, invoices, paged_texts, table
+from .layouts import INVOICE_SQL, LINES_SQL, as_invoice, invoice_spans, invoices, lines_together, packed_paged_texts, table
 
 HEADERS = TableOpts(headers=("Part", "Supplier"))
 
@@ -29,7 +29,7 @@ def invoice_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.create_pdf(sinks.text_ops(paged_texts(spark, sf_dir)))
+    return sinks.create_text_pdf(packed_paged_texts(lines_together(spark, sf_dir)))
 
 
 def page_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with n, the number of a line in its order from 1."""
+    return numbered(table(spark, sf_dir, "lineitem"))
+
+
+def lines_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_lines, dealt by order before they are numbered: the lines of an order stand together."""
+    return numbered(spread(table(spark, sf_dir, "lineitem"), "l_orderkey"))
+
+
+def numbered(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    return table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(w))
+    return lines.withColumn("n", F.row_number().over(w))
 
 
 def lines_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,19 +58,32 @@ def cell_texts(lines: DataFrame, y: Column, page: Column | int = 0) -> DataFrame
     return flat.select("doc_id", "page", (F.col("n") * 10 + F.col("k.c")).cast("int").alias("op_seq"), "k.x", "y", "k.text")
 
 
-def texts_of(lines: DataFrame, page: Column | int, first: Column, head: list[tuple], body: list[tuple]) -> DataFrame:
-    """(doc_id, page, op_seq, x, y, text): the texts ``body`` of each line, and ``head`` where it is its page's first, out
-    of one pass over the lines; a text is (op_seq, x, y, text)."""
+def packed_texts(lines: DataFrame, page: Column | int, first: Column, head: list[tuple], body: list[tuple]) -> DataFrame:
+    """(doc_id, page, texts): the texts ``body`` of each line, and ``head`` where it is its page's first, out of one pass
+    over the lines; a text is (op_seq, x, y, text)."""
     page = F.lit(page) if isinstance(page, int) else page
     placed = lambda texts: F.array(*[F.struct(F.lit(seq).cast("int").alias("op_seq"), F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"), F.lit(text).alias("text")) for seq, x, y, text in texts])
-    every = F.when(first, F.concat(placed(head), placed(body))).otherwise(placed(body))
-    return lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), page.cast("int").alias("page"), F.inline(every))
+    every = F.when(first, placed(head + body)).otherwise(placed(body))
+    return lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), page.cast("int").alias("page"), every.alias("texts"))
 
 
-def headed_texts(lines: DataFrame, y: Column, page: Column | int, first: Column, *more: tuple) -> DataFrame:
+def flat(texts: DataFrame) -> DataFrame:
+    """(doc_id, page, op_seq, x, y, text) of rows with texts in arrays."""
+    return texts.select("doc_id", "page", F.inline("texts"))
+
+
+def texts_of(lines: DataFrame, page: Column | int, first: Column, head: list[tuple], body: list[tuple]) -> DataFrame:
+    return flat(packed_texts(lines, page, first, head, body))
+
+
+def packed_headed_texts(lines: DataFrame, y: Column, page: Column | int, first: Column, *more: tuple) -> DataFrame:
     """cell_texts with header_texts on each page, and what more texts a line has; first: the line is its page's first."""
     body = [(F.col("n") * 10 + i, x, y, F.expr(e)) for i, (_, x, e) in enumerate(COLUMNS)]
-    return texts_of(lines, page, first, [(i, x, 700.0, n) for i, (n, x, _) in enumerate(COLUMNS)], [*body, *more])
+    return packed_texts(lines, page, first, [(i, x, 700.0, n) for i, (n, x, _) in enumerate(COLUMNS)], [*body, *more])
+
+
+def headed_texts(lines: DataFrame, y: Column, page: Column | int, first: Column, *more: tuple) -> DataFrame:
+    return flat(packed_headed_texts(lines, y, page, first, *more))
 
 
 def header_texts(pages: DataFrame, y: float = 700.0, names: tuple[tuple[str, float], ...] | None = None) -> DataFrame:
@@ -76,25 +98,32 @@ def spans_of(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "page", F.col("op_seq").alias("span_seq"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.col("x") + 6 * F.length("text")).cast("double").alias("end_x"), F.lit(12.0).alias("font_size"), F.lit("F").alias("font"), "text")
 
 
-def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed_invoice_texts(lines: DataFrame) -> DataFrame:
     """One page an order; orders have no more lines than fit."""
-    return headed_texts(order_lines(spark, sf_dir), 700 - 20 * F.col("n"), 0, F.col("n") == 1)
+    return packed_headed_texts(lines, 700 - 20 * F.col("n"), 0, F.col("n") == 1)
+
+
+def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(packed_invoice_texts(order_lines(spark, sf_dir)))
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, content): every order as a PDF document."""
-    return sinks.create_pdf(sinks.text_ops(invoice_texts(spark, sf_dir)))
+    return sinks.create_text_pdf(packed_invoice_texts(lines_together(spark, sf_dir)))
 
 
 def invoice_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_spans(invoices(spark, sf_dir))
 
 
-def paged_texts(spark: SparkSession, sf_dir: str, per_page: int = 3) -> DataFrame:
+def packed_paged_texts(lines: DataFrame, per_page: int = 3) -> DataFrame:
     """Orders with three lines a page, and a header on each page."""
-    lines = order_lines(spark, sf_dir)
     page, row = F.floor((F.col("n") - 1) / per_page), (F.col("n") - 1) % per_page + 1
-    return headed_texts(lines, 700 - 20 * row, page, row == 1)
+    return packed_headed_texts(lines, 700 - 20 * row, page, row == 1)
+
+
+def paged_texts(spark: SparkSession, sf_dir: str, per_page: int = 3) -> DataFrame:
+    return flat(packed_paged_texts(order_lines(spark, sf_dir), per_page))
 
 
 def paged_spans(spark: SparkSession, sf_dir: str, per_page: int = 3) -> DataFrame:

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 from .. import schemas
-from ..codec import images
+from ..codec import bulk, images
 from ..codec.interpret import page_images, page_spans
 from ..codec.reader import Reader
 
+SPANS_IN_BATCH = 20_000
 ARROW_SPANS = pa.schema([("doc_id", pa.string()), ("page", pa.int32()), ("span_seq", pa.int32()), *((n, pa.float64()) for n in ("x", "y", "end_x", "font_size")), ("font", pa.string()), ("text", pa.string())])
 ARROW_PAGES = pa.schema([("doc_id", pa.string()), ("page", pa.int32()), ("media_box", pa.list_(pa.float64())), ("rotate", pa.int32()), ("n_spans", pa.int32()), ("error", pa.string())])
 
@@ -118,9 +119,9 @@ def extract_spans(docs: DataFrame, pages: list[int] | None = None, glyphs: dict[
     wanted = set(pages) if pages is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = (r for doc, data in zip(b["doc_id"].to_pylist(), b["content"].to_pylist(), strict=True) for r in _span_rows(doc, data, wanted, glyphs))
-            yield from _batches(rows, ARROW_SPANS)
+        for b in bulk.span_batches(batches, glyphs, wanted):
+            for at in range(0, b.num_rows, SPANS_IN_BATCH):
+                yield b.slice(at, SPANS_IN_BATCH)
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, schemas.SPANS)
 
@@ -130,8 +131,11 @@ def extract_pages(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = ((doc, i, box, turn, len(spans), error) for doc, data in zip(b["doc_id"].to_pylist(), b["content"].to_pylist(), strict=True) for i, box, turn, spans, error in pages_of(data))
-            yield from _batches(rows, ARROW_PAGES)
+            for ids, pages in bulk.parts(b):
+                at, _, _ = bulk.columns(pages)
+                many = np.bincount(at, minlength=len(pages))
+                rows = zip(ids.take(pa.array([p.doc for p in pages], pa.int64())).to_pylist(), pages, many.tolist(), strict=True)
+                yield from _batches(((doc, p.number, p.box, p.turn, n, p.error) for doc, p, n in rows), ARROW_PAGES)
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, schemas.PAGES)
 
