@@ -8,16 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions.text import after_label, between_labels, is_note, is_number, smart_append, trim
 from .lines import build_lines
+from .quote_batches import COMPLETE, ENDINGS, FAR, FIELDS, FOOTERS, FOOTERS_LEFT, SCHEMAS, WRAP, Y_TOLERANCE, kernel
 from .spread import spread
 
-# The texts that quotations are known by.
-COMPLETE = ("quantity", "product code", "suppliers code", "product description", "unit price", "total price", "list price", "cost price", "selling price")
-ENDINGS = ("code", "price", "name", "description")
-FOOTERS, FOOTERS_LEFT = ("Quote Expiry", "Pricing:", "Total:", "Quote Total:"), ("Logistics Charge:", "Delivery Charge:")
-Y_TOLERANCE, WRAP, FAR = 2.0, 15.0, 50.0
-FIELDS = ("company", "quote_name", "quotation_ref", "issue_date", "quote_expiry", "estimator", "contact_name")
-
-
 def header_fields(lines: DataFrame) -> DataFrame:
     """(doc_id, company, quote_name, ...): of each field the first value of a document that is not empty. A reference or
     date may stand on the line after its label."""
@@ -164,6 +157,12 @@ def extract_quotes(spans: DataFrame) -> DataFrame:
     return out.withColumns({"headers": F.coalesce("headers", empty), "supplier_codes": F.coalesce("supplier_codes", empty)})
 
 
+def of_documents(docs: DataFrame, what: str = "quotes") -> DataFrame:
+    """Of documents (doc_id, content), read and searched in one pass that needs no exchange: fields as header_fields, items
+    as line_items, codes as supplier_codes, or quotes as extract_quotes gives them."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(kernel(what), f"doc_id string, {SCHEMAS[what]}")
+
+
 def report(quotes: DataFrame) -> DataFrame:
     """(doc_id, report): a quotation as text."""
     labels = {"company": "Company", "quote_name": "Quote Name", "quotation_ref": "Quotation Ref", "issue_date": "Issue Date", "quote_expiry": "Quote Expiry", "estimator": "Estimator", "contact_name": "Contact Name"}

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import quotes, sinks
-from ..operators.lines import build_lines
-from ..sources.pdf import extract_spans
-from .layouts import LINES_SQL, order_lines, table
+from ..operators.spread import spread
+from .layouts import LINE_ORDER, LINES_SQL, flat, table
 
 HEAD = (("Quantity", 50.0), ("Product Code", 120.0), ("Suppliers", 220.0), ("Product Description", 320.0), ("Unit Price", 480.0))
 PER_PAGE = 8
@@ -21,25 +20,27 @@ def _text(n: Column | int, seq: int, x: float, y: Column | int, text: Column | s
     return F.struct((of(n) * 100 + seq).cast("int").alias("op_seq"), F.lit(float(x)).alias("x"), of(y).cast("double").alias("y"), of(text).alias("text"))
 
 
-def quotation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed_quotation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order a quotation: labels on the first page; a table whose second header word is wrapped; a category before
-    every third line; a code that goes on below its line; eight lines a page, headers on each; a footer. Texts of lines
-    come out of one pass over them."""
-    keys = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    orders = table(spark, sf_dir, "orders").join(keys, "o_orderkey", "left_semi")
-    orders = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("doc_id", F.col("o_orderkey").cast("string"))
+    every third line; a code that goes on below its line; eight lines a page, headers on each; a footer. Orders are dealt
+    along with their lines, and texts come out of one pass over both."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = orders.where("o_orderkey is not null").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate", "c_name", "c_mktsegment", F.lit(0).alias("line"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER, F.lit(1).alias("line"))
+    w = Window.partitionBy("l_orderkey").orderBy("line", *LINE_ORDER)
+    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+    both = spread(lines.unionByName(orders, allowMissingColumns=True), "l_orderkey")
+    both = both.withColumns({"n": F.sum("line").over(w.rowsBetween(start, Window.currentRow)), "many": F.sum("line").over(w.rowsBetween(start, end))}).where("many > 0")
+    n, key = F.col("n"), F.col("l_orderkey").cast("string")
     top = F.array(
         _text(0, 1, 50, 780, F.concat(F.lit("Company: "), F.col("c_name"), F.lit(" Estimator: A "), F.col("c_mktsegment"))),
-        _text(0, 2, 50, 765, F.concat(F.lit("Quote Name: Order "), F.col("doc_id"))),
+        _text(0, 2, 50, 765, F.concat(F.lit("Quote Name: Order "), key)),
         _text(0, 3, 50, 750, "Quotation Ref:"),
-        _text(0, 4, 50, 735, F.concat(F.lit("REF-"), F.col("doc_id"))),
+        _text(0, 4, 50, 735, F.concat(F.lit("REF-"), key)),
         _text(0, 5, 50, 720, F.concat(F.lit("Quote Expiry: Quote is valid until "), F.date_format("o_orderdate", "dd/MM/yyyy"))),
     )
-    n = F.col("n")
     page, row = F.floor((n - 1) / PER_PAGE), (n - 1) % PER_PAGE
     y = 640 - 60 * row
-    many = F.count("*").over(Window.partitionBy("l_orderkey"))
-    lines = order_lines(spark, sf_dir).withColumn("many", many)
     cells = {50: F.col("l_quantity").cast("int").cast("string"), 120: F.concat(F.lit("P-"), F.col("l_partkey").cast("string")), 220: F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("-")), 320: F.concat(F.lit("item "), F.col("l_returnflag")), 480: F.format_string("%.2f", "l_extendedprice")}
     body = [_text(n, 10 + i, x, y, t) for i, (x, t) in enumerate(cells.items())]
     body.append(_text(n, 20, 220, y - 20, F.concat(F.lit("X"), F.col("l_linestatus"))))
@@ -48,16 +49,21 @@ def quotation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     foot = F.array(_text(99, 90, 50, 60, "Total: see above"), _text(99, 91, 120, 40, "P-after the footer"))
     none = F.slice(foot, 1, 0)
     every = F.concat(F.array(*body), *[F.when(when, part).otherwise(none) for when, part in ((n % 3 == 1, category), (row == 0, head), (n == F.col("many"), foot))])
-    own = lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), page.cast("int").alias("page"), F.inline(every))
-    return own.unionByName(orders.select("doc_id", F.lit(0).alias("page"), F.inline(top)))
+    is_line = F.col("line") == 1
+    return both.select(key.alias("doc_id"), F.when(is_line, page).otherwise(0).cast("int").alias("page"), F.when(is_line, every).otherwise(top).alias("texts"))
+
+
+def quotation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(packed_quotation_texts(spark, sf_dir))
 
 
-def quotation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_spans(sinks.create_pdf(sinks.text_ops(quotation_texts(spark, sf_dir))))
+def quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content): every order with its lines as a PDF document."""
+    return sinks.create_text_pdf(packed_quotation_texts(spark, sf_dir))
 
 
 def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quotes.header_fields(build_lines(quotation_spans(spark, sf_dir)))
+    found = quotes.of_documents(quotations(spark, sf_dir), "fields")
     return found.select(F.col("doc_id").cast("long").alias("o_orderkey"), *quotes.FIELDS)
 
 
@@ -66,7 +72,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT l
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quotes.line_items(quotation_spans(spark, sf_dir))
+    found = quotes.of_documents(quotations(spark, sf_dir), "items")
     return found.select(F.col("doc_id").cast("long").alias("l_orderkey"), "item_no", "quantity", "product_code", "supplier_code", "description", F.try_element_at("prices", F.lit("Unit Price")).alias("unit_price"))
 
 
@@ -74,7 +80,7 @@ ITEMS_SQL = f"SELECT l_orderkey, (n - 1)::BIGINT AS item_no, cast(l_quantity AS
 
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quotes.line_items(quotation_spans(spark, sf_dir))
+    found = quotes.of_documents(quotations(spark, sf_dir), "items")
     return found.select(F.col("doc_id").cast("long").alias("l_orderkey"), "item_no", "category")
 
 
@@ -82,7 +88,7 @@ CATEGORY_SQL = f"SELECT l_orderkey, (n - 1)::BIGINT AS item_no, last_value(CASE
 
 
 def supplier_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quotes.supplier_codes(quotes.line_items(quotation_spans(spark, sf_dir)))
+    found = quotes.of_documents(quotations(spark, sf_dir), "codes")
     return found.select(F.col("doc_id").cast("long").alias("l_orderkey"), F.col("code_no").cast("long").alias("code_no"), "code")
 
 
@@ -90,12 +96,12 @@ CODES_SQL = f"SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDE
 
 
 def whole_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quotes.extract_quotes(quotation_spans(spark, sf_dir))
+    found = quotes.of_documents(quotations(spark, sf_dir))
     return found.select(F.col("doc_id").cast("long").alias("l_orderkey"), F.array_join("headers", "|").alias("headers"), F.size("line_items").cast("long").alias("n_items"))
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quotes.report(quotes.extract_quotes(quotation_spans(spark, sf_dir)))
+    found = quotes.report(quotes.of_documents(quotations(spark, sf_dir)))
     return found.select(F.col("doc_id").cast("long").alias("l_orderkey"), "report")
 
 

@@ -13,8 +13,10 @@ from leafmill.codec.interpret import page_spans
 from leafmill.codec.reader import Reader
 from leafmill.codec.scan import Name
 from leafmill.codec.writer import Writer
-from leafmill.operators import sinks
-from leafmill.plans import bytes_queries
+from leafmill.operators import quotes, sinks
+from leafmill.operators.lines import build_lines
+from leafmill.plans import bytes_queries, quote_queries
+from leafmill.sources.pdf import extract_spans
 
 DATA = "/root/testdata/sf0.001"
 TEXTS = ["a", "(x)", "a\\b", "é ü", "日本", "", "12.50", "a\nb", "two words  ", "\x07bell", None, "x" * 300]
@@ -81,3 +83,39 @@ def test_lines_are_dealt_once_and_texts_never(spark, name):
     plan = bytes_queries.QUERIES[name][0](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("MapInArrow") :]
     assert len(re.findall("Exchange", below)) == 1 and "collect_list" not in plan and "Generate" not in plan
+
+
+WORDS = ["Quantity", "Suppliers", "Suppliers Code", " Quantity ", "Code", "code", "Price", "Product Code", "Product", "Product Description", "Unit Price", "Cost", "12", "1.5", "P-1", "S9-", "X/", "NOTE a", "-", " ", "Total: 5", "Delivery Charge: 3", "Company: A Estimator: B Contact", "Contact Name: C Estimator", "Quote Name:", "Issue Date:", "Quotation Ref: R", "Quote Expiry: Quote is valid until 1/2", "free text", "é "]
+
+
+def odd_quotation(rng: random.Random) -> bytes:
+    pages = []
+    for _ in range(rng.randint(1, 4)):
+        ops = [("text", [rng.choice([0.0, 50.0, 52.0, 120.0, 220.0, 320.0, 480.0, 590.0]), rng.choice([700.0, 699.0, 690.0, 688.5, 680.0, 640.0, 638.5, 620.0, 600.0, 40.0])], rng.choice(WORDS)) for _ in range(rng.randint(1, 30))]
+        if rng.random() < 0.6:
+            ops += [("text", [x, 690.0], t) for x, t in zip((50.0, 120.0, 220.0, 320.0, 480.0), ("Quantity", "Product Code", "Suppliers", "Product Description", "Unit Price"), strict=True)]
+            ops += [("text", [x, y], t) for y in (660.0, 630.0) for x, t in ((50.0, "3"), (120.0, "P-7"), (220.0, "S1-"), (480.0, "9.50")) if rng.random() < 0.8]
+        pages.append((612.0, 792.0, ops))
+    return draw.create(pages)
+
+
+def test_quotations_of_documents_as_of_spans(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(f"d{i}", bytearray(odd_quotation(rng))) for i in range(300)] + [("bad", bytearray(b"x")), ("none", None)], "doc_id string, content binary").repartition(4)
+    spans = extract_spans(docs).cache()
+    names = ["doc_id", *quotes.FIELDS, "headers", "line_items", "supplier_codes"]
+    same = lambda df, cols: sorted(map(repr, df.select(*cols).collect()))
+    want = same(quotes.extract_quotes(spans), names)
+    assert same(quotes.of_documents(docs), names) == want and len(want) == 300
+    items, cols = quotes.of_documents(docs, "items"), ["doc_id", "item_no", "quantity", "product_code", "supplier_code", "description", "category", "prices"]
+    assert same(items, cols) == same(quotes.line_items(spans), cols) and items.count() > 300
+    assert same(quotes.of_documents(docs, "codes"), ["doc_id", "code_no", "code"]) == same(quotes.supplier_codes(quotes.line_items(spans)), ["doc_id", "code_no", "code"])
+    assert same(quotes.of_documents(docs, "fields"), names[:8]) == same(quotes.header_fields(build_lines(spans)), names[:8])
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+@pytest.mark.parametrize("name", ["quotes", "quote_report", "quote_header_fields", "quote_line_items", "quote_category_fill", "quote_supplier_codes"])
+def test_quotations_are_read_in_one_pass(spark, name):
+    plan = quote_queries.QUERIES[name][0](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow", plan)) == 2 and len(re.findall("REPARTITION", plan)) == 1 and "l_orderkey" not in "".join(re.findall("Join.*", plan))
+    assert len(re.findall("Exchange", plan[: plan.index("Union")])) == 1  # what follows the lines: that they are dealt by
