@@ -19,7 +19,7 @@ from ..options import MergeOptions
 from .batches import codes, ordered, whole
 from .spread import spread
 
-DOCUMENTS_AT_ONCE, ROWS_AT_ONCE = 4096, 20_000
+DOCUMENTS_AT_ONCE, ROWS_AT_ONCE, MERGES_AT_ONCE = 4096, 20_000, 256
 DOCUMENT = pa.schema([("doc_id", pa.string()), ("content", pa.binary())])
 
 
@@ -104,32 +104,48 @@ def merge_documents(docs: DataFrame, selections: DataFrame, opts: MergeOptions |
     doc_id, pages): pages array<int> from 0, those below zero from the end, null: all. A merge with a source that is not
     among the documents, or without content, has an error and no data. A document is sent once to each merge that
     wants it, however often its pages are chosen there."""
-    opts = opts or MergeOptions()
+    return merge_under(docs, selections, [opts or MergeOptions()], stamp).drop("policy")
+
+
+def merge_under(docs: DataFrame, selections: DataFrame, options: list[MergeOptions], stamp: str = STAMP) -> DataFrame:
+    """merge_documents under each of the options, with its policy, a row each: documents are made, sent and opened once."""
     own = selections.select(F.col("merge_id").cast("string").alias("merge_id"), "src_no", F.col("doc_id").cast("string").alias("doc_id"), "pages")
     own = own.groupBy("merge_id", "doc_id").agg(F.collect_list(F.struct("src_no", "pages")).alias("chosen"))
     own = own.join(sent(docs), "doc_id", "left")
-    each = own.groupBy("merge_id").agg(F.collect_list(F.struct("doc_id", "chosen", "content")).alias("sources"))
-    schema = pa.schema([("merge_id", pa.string()), ("data", pa.binary()), ("total_pages", pa.int32()), ("included_pages", pa.int32()), ("oversize", pa.bool_()), ("size", pa.int64()), ("max_size", pa.int64()), ("error", pa.string())])
+    each = spread(own, "merge_id").groupBy("merge_id").agg(F.collect_list(F.struct("doc_id", "chosen", "content")).alias("sources"))
+    schema = pa.schema([("merge_id", pa.string()), ("data", pa.binary()), ("total_pages", pa.int32()), ("included_pages", pa.int32()), ("oversize", pa.bool_()), ("size", pa.int64()), ("max_size", pa.int64()), ("error", pa.string()), ("policy", pa.string())])
+
+    def opened(sources: list[dict]) -> compose.Merge:
+        missing = sorted(str(s["doc_id"]) for s in sources if s["content"] is None)
+        if missing:
+            raise ValueError(f"no such source: {', '.join(missing)}")
+        parts = sorted(((c["src_no"], c["pages"] is not None, c["pages"] or [], s["doc_id"], s["content"]) for s in sources for c in s["chosen"]), key=lambda p: p[:4])
+        return compose.Merge([(content, pages if some else None) for _, some, pages, _, content in parts], stamp)
 
-    def one(key: str, sources: list[dict]) -> tuple:
+    def every(key: str, sources: list[dict]) -> Iterator[tuple]:
         try:
-            missing = sorted(str(s["doc_id"]) for s in sources if s["content"] is None)
-            if missing:
-                raise ValueError(f"no such source: {', '.join(missing)}")
-            parts = sorted(((c["src_no"], c["pages"] is not None, c["pages"] or [], s["doc_id"], s["content"]) for s in sources for c in s["chosen"]), key=lambda p: p[:4])
-            m = compose.merge([(content, pages if some else None) for _, some, pages, _, content in parts], opts.max_size, opts.policy, stamp)
-            return key, m.data, m.total_pages, m.included_pages, False, len(m.data), opts.max_size, None
-        except compose.Oversize as e:
-            return key, None, e.total, e.included, True, e.size, e.limit, str(e)
+            whole, broken = opened(sources), None
         except Exception as e:  # a broken source is a row, not a failed task
-            return key, None, None, None, False, None, opts.max_size, str(e) or type(e).__name__
+            whole, broken = None, e
+        for o in options:
+            try:
+                if broken:
+                    raise broken
+                m = whole.under(o.max_size, o.policy)
+                yield key, m.data, m.total_pages, m.included_pages, False, len(m.data), o.max_size, None, o.policy
+            except compose.Oversize as e:
+                yield key, None, e.total, e.included, True, e.size, e.limit, str(e), o.policy
+            except Exception as e:
+                yield key, None, None, None, False, None, o.max_size, str(e) or type(e).__name__, o.policy
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [one(k, s) for k, s in zip(b["merge_id"].to_pylist(), b["sources"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+            for at in range(0, b.num_rows, MERGES_AT_ONCE):
+                some = b.slice(at, MERGES_AT_ONCE)
+                rows = [r for k, s in zip(some["merge_id"].to_pylist(), some["sources"].to_pylist(), strict=True) for r in every(k, s)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return each.mapInArrow(run, "merge_id string, data binary, total_pages int, included_pages int, oversize boolean, size long, max_size long, error string")
+    return each.mapInArrow(run, "merge_id string, data binary, total_pages int, included_pages int, oversize boolean, size long, max_size long, error string, policy string")
 
 
 EDITS = "doc_id string, page int, edit_seq int, kind string, args array<double>, text string, image struct<width:int,height:int,rgb:binary,alpha:binary>"

@@ -8,14 +8,14 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from leafmill.codec import bulk, draw
+from leafmill.codec import bulk, compose, draw
 from leafmill.codec.interpret import page_spans
 from leafmill.codec.reader import Reader
 from leafmill.codec.scan import Name
 from leafmill.codec.writer import Writer
 from leafmill.operators import quotes, sinks
 from leafmill.operators.lines import build_lines
-from leafmill.plans import bytes_queries, quote_queries
+from leafmill.plans import bytes_queries, edit_queries, quote_queries
 from leafmill.sources.pdf import extract_spans
 
 DATA = "/root/testdata/sf0.001"
@@ -119,3 +119,24 @@ def test_quotations_are_read_in_one_pass(spark, name):
     plan = quote_queries.QUERIES[name][0](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall("MapInArrow", plan)) == 2 and len(re.findall("REPARTITION", plan)) == 1 and "l_orderkey" not in "".join(re.findall("Join.*", plan))
     assert len(re.findall("Exchange", plan[: plan.index("Union")])) == 1  # what follows the lines: that they are dealt by
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_documents_are_made_once_for_all_policies(spark):
+    plan = edit_queries.merge_limits(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow", plan)) == 2 and "Union" not in plan[: plan.index("MapInArrow")]
+
+
+def test_a_merge_is_joined_once_under_all_limits(monkeypatch):
+    data, joined = draw.create([(612.0, 792.0, [("text", [72.0, 700.0], "once")])] * 3), []
+    own = compose._join
+    monkeypatch.setattr(compose, "_join", lambda *a: (joined.append(a[1:4]), own(*a))[1])
+    m = compose.Merge([(data, None)] * 4)
+    for limit, policy in ((0, "fail"), (10**6, "fail"), (1, "fail"), (10**6, "shrink"), (1, "shrink"), (1, "truncate")):
+        try:
+            got = m.under(limit, policy)
+        except compose.Oversize as e:
+            assert limit == 1 and e.total == 12
+        else:
+            assert got == compose.merge([(data, None)] * 4, limit, policy) and got.included_pages == 12
+    assert joined[:1] == [(False, 0, 0)] and (True, 0, 10) not in joined and len(joined) == 6  # three, and the three of compose.merge
