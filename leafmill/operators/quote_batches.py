@@ -310,14 +310,17 @@ def documents(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, lis
 def kernel(what: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # what is made here has no cycles, and is much
-        for ids, docs in documents(batches):
-            doc, rows = [], []
-            for place, pages in docs:
-                own = rows_of(what, pages)
-                rows += own
-                doc += [place] * len(own)
-            columns = zip(*rows, strict=True) if rows else [()] * len(ARROW[what])
-            made = {k: pa.array(list(v), t) for (k, t), v in zip(ARROW[what], columns, strict=True)}
-            yield pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(doc, pa.int64()))} | made)
+        try:
+            for ids, docs in documents(batches):
+                doc, rows = [], []
+                for place, pages in docs:
+                    own = rows_of(what, pages)
+                    rows += own
+                    doc += [place] * len(own)
+                columns = zip(*rows, strict=True) if rows else [()] * len(ARROW[what])
+                made = {k: pa.array(list(v), t) for (k, t), v in zip(ARROW[what], columns, strict=True)}
+                yield pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(doc, pa.int64()))} | made)
+        finally:
+            gc.enable()
 
     return run
